@@ -6,12 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import near_dup
+from siltstone.llm import line_dedup, mixing, near_dup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_near_dup": near_dup.op1_near_dup}
+    return {
+        "op1_near_dup": near_dup.op1_near_dup,
+        "op5_line_dedup": line_dedup.op5_line_dedup,
+        "op6_mixing": mixing.op6_mixing,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op5_line_dedup": line_dedup.OP5_SQL,
+        "op6_mixing": mixing.OP6_SQL,
+    }
