@@ -6,19 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import line_dedup, mixing, near_dup
+from siltstone.llm import line_dedup, mixing, near_dup, token_counts, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_near_dup": near_dup.op1_near_dup,
+        "op3_url_filter": url_filter.op3_url_filter,
         "op5_line_dedup": line_dedup.op5_line_dedup,
         "op6_mixing": mixing.op6_mixing,
+        "op10_token_counts": token_counts.op10_token_counts,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_url_filter": url_filter.OP3_SQL,
         "op5_line_dedup": line_dedup.OP5_SQL,
         "op6_mixing": mixing.OP6_SQL,
     }

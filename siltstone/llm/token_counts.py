@@ -1,0 +1,111 @@
+"""Token counts through a digest cache.
+
+The cache is a table (tokenizer, digest, n_tokens). A text's digest is that of its NFC form; the
+tokenizer's digest covers its vocabulary file, pattern, library version and the normalisation, so a change of any of them
+never meets old counts. Only distinct digests that the cache lacks are encoded, and then appended to it.
+"""
+
+from __future__ import annotations
+
+import base64
+import hashlib
+import sys
+import types
+from collections.abc import Iterator
+from pathlib import Path
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from siltstone.llm._scratch import Scratch, partitions
+
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
+NORMALISATION = "nfc-1"
+CACHE_SCHEMA = "tokenizer string, digest binary, n_tokens long"
+
+
+def tokenizer_digest(path: str = TOKENIZER) -> str:
+    import tiktoken
+
+    said = hashlib.sha256(Path(path).read_bytes())
+    said.update("\0".join([PATTERN, tiktoken.__version__, NORMALISATION]).encode())
+    return said.hexdigest()
+
+
+def _encoding(path: str):
+    """The tokenizer, loaded once in a worker process."""
+    import tiktoken
+
+    kept = sys.modules.setdefault("_siltstone_tokenizers", types.ModuleType("_siltstone_tokenizers")).__dict__
+    if path not in kept:
+        with open(path, "rb") as lines:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        kept[path] = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return kept[path]
+
+
+def _nfc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text) -> (doc_id, digest): 128 bits of BLAKE2b of the NFC form."""
+    import unicodedata
+
+    for batch in batches:
+        digests = [None if x is None else hashlib.blake2b((x if x.isascii() or unicodedata.is_normalized("NFC", x) else unicodedata.normalize("NFC", x)).encode(), digest_size=16).digest() for x in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary())], names=["doc_id", "digest"])
+
+
+def _digest_and_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        (digests,) = (b.column(1) for b in _nfc([pa.RecordBatch.from_arrays([batch.column(0), batch.column(0)], names=["a", "b"])]))
+        yield pa.RecordBatch.from_arrays([digests, batch.column(0)], names=["digest", "text"])
+
+
+def _encode(path: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(digest, text) sorted by digest -> (digest, n_tokens), each digest once."""
+        import unicodedata
+
+        last = None
+        for batch in batches:
+            digests, counts = [], []
+            column = batch.column(1)
+            for i, d in enumerate(batch.column(0).to_pylist()):
+                if d != last:
+                    last = d
+                    digests.append(d)
+                    counts.append(len(_encoding(path).encode_ordinary(unicodedata.normalize("NFC", column[i].as_py()))))
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(counts, pa.int64())], names=["digest", "n_tokens"])
+
+    return run
+
+
+def count_tokens(documents: DataFrame, cache: str, tokenizer: str = TOKENIZER) -> DataFrame:
+    """(doc_id, n_tokens) for each row of documents, through the cache: a folder of Parquet files that is made if missing.
+
+    A null text has a null count, an empty text 0 tokens. Special tokens' strings count as ordinary text.
+    Repeated rows and a null doc_id each have a row. Only doc_id and text are read. Appending is safe beside other
+    writers: a digest that two of them add has one and the same count, of which the join takes one.
+    """
+    spark = documents.sparkSession
+    version = tokenizer_digest(tokenizer)
+    scratch = Scratch(spark, "tokens")
+    digested = scratch.write(documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(_nfc, "doc_id long, digest binary"), "digests")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(cache)
+    there = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+    stored = (spark.read.schema(CACHE_SCHEMA).parquet(cache) if there else spark.createDataFrame([], CACHE_SCHEMA)).where(F.col("tokenizer") == version).select("digest", "n_tokens")
+
+    missing = digested.where("digest is not null").select("digest").distinct().join(stored, "digest", "left_anti")
+    missing = scratch.write(missing, "missing")
+    if not missing.isEmpty():
+        texts = documents.where("text is not null").select("text").mapInArrow(_digest_and_text, "digest binary, text string")
+        wanted = texts if not there else texts.join(missing, "digest", "left_semi")
+        once = wanted.repartition(partitions(spark), "digest").sortWithinPartitions("digest").mapInArrow(_encode(tokenizer), "digest binary, n_tokens long")
+        once.select(F.lit(version).alias("tokenizer"), "digest", "n_tokens").write.mode("append").option("compression", "zstd").parquet(cache)
+    counts = spark.read.schema(CACHE_SCHEMA).parquet(cache).where(F.col("tokenizer") == version) if there or not missing.isEmpty() else spark.createDataFrame([], CACHE_SCHEMA)
+    return digested.join(counts.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "digest", "left").select("doc_id", "n_tokens")
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With a cache of this run in the shared folder, empty at first: every distinct text is a miss."""
+    return count_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"), f"{Scratch(spark, 'token-cache').root}/counts")

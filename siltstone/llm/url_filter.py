@@ -1,0 +1,147 @@
+"""URL filters as a sort-merge range join of canonical keys with rule intervals.
+
+A URL's canonical key is its host with the labels reversed, each followed by a comma, then ")" and the path:
+https://www.Shop.example.com:443/a?utm_source=x -> "com,example,shop,)/a". A rule on a host covers the host and
+its subdomains, a rule on a host and path the paths that begin so; either is a prefix of keys, that is the
+interval from the prefix up to its successor. Prefix intervals nest or are disjoint. Keys and rules are
+range-partitioned alike; a rule goes to each range that its interval meets. In each partition a sorted
+sweep keeps the stack of rules that are active; the top one, the most specific, decides.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from siltstone.llm._scratch import Scratch, partitions
+
+#: (rule_id, pattern, action): the production list. A pattern is a host, or a host and the beginning of a path.
+RULES = [
+    (1, "cheap-pills.example.com", "block"),
+    (2, "spam-farm.example.org", "block"),
+    (3, "spam-farm.example.org/en", "allow"),
+    (4, "spam-farm.example.org/en/7", "block"),
+    (5, "tionsh.example.net", "block"),
+    (6, "tionsh.example.net/en/", "allow"),
+    (7, "blog.tionsh.example.net", "allow"),
+    (8, "blog.tionsh.example.net/es/", "block"),
+    (9, "example.org/fr/", "block"),
+    (10, "adult.example.com", "block"),
+]
+
+#: Keys sampled for each range when range bounds are chosen.
+SAMPLES_PER_RANGE = 40
+
+
+def canonical_key(url: Column) -> Column:
+    """The key of a URL; null where there is no host. Scheme, user, port, a leading www., fragment and utm_ parameters go; the host is lower-cased."""
+    bare = F.regexp_replace(F.regexp_replace(F.trim(url), r"^[A-Za-z][A-Za-z0-9+.-]*://", ""), r"#.*$", "")
+    host = F.regexp_extract(bare, r"^([^/?]*)", 1)
+    host = F.regexp_replace(F.regexp_replace(host, r"^.*@", ""), r":[0-9]*$", "")
+    host = F.regexp_replace(F.regexp_replace(F.lower(host), r"\.+$", ""), r"^www\.", "")
+    rest = F.regexp_extract(bare, r"^[^/?]*(.*)$", 1)
+    rest = F.regexp_replace(rest, r"([?&])utm_[^=&]*=[^&]*", "$1")
+    rest = F.regexp_replace(F.regexp_replace(F.regexp_replace(rest, r"&+", "&"), r"\?&", "?"), r"[?&]+$", "")
+    rest = F.when(rest.startswith("/"), rest).otherwise(F.concat(F.lit("/"), rest))
+    key = F.concat(F.array_join(F.reverse(F.split(host, r"\.")), ","), F.lit(",)"), rest)
+    return F.when(host != "", key)
+
+
+def rule_prefix(pattern: Column) -> Column:
+    """The prefix of keys that a pattern covers."""
+    key = canonical_key(pattern)
+    return F.when(pattern.contains("/"), key).otherwise(F.regexp_extract(key, r"^([^)]*)", 1))
+
+
+def _place(bounds: list[bytes]):
+    import bisect
+
+    def of(keys: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for k in keys:
+            yield pd.Series([bisect.bisect_right(bounds, x.encode()) for x in k], dtype="int32")
+
+    return F.pandas_udf(of, "int")
+
+
+def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (pid, key, kind, id, action) in order, rules before URLs of the same key; for each URL the top of the stack."""
+    stack: list[tuple[str, int, str]] = []
+    part = None
+    schema = pa.schema([("page_id", pa.int64()), ("key", pa.string()), ("rule_id", pa.int64()), ("action", pa.string())])
+    for batch in batches:
+        pids, keys, kinds, ids, actions = (batch.column(i).to_pylist() for i in range(5))
+        out: tuple[list, ...] = ([], [], [], [])
+        for pid, key, kind, id_, action in zip(pids, keys, kinds, ids, actions):
+            if pid != part:
+                stack, part = [], pid
+            while stack and not key.startswith(stack[-1][0]):
+                stack.pop()
+            if kind == 0:
+                stack.append((key, id_, action))
+            else:
+                top = stack[-1] if stack else (None, None, "none")
+                for column, value in zip(out, (id_, key, top[1], top[2])):
+                    column.append(value)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, schema.types)], schema=schema)
+
+
+def filter_urls(pages: DataFrame, rules: DataFrame) -> DataFrame:
+    """(page_id, key, rule_id, action) for each row of pages(page_id, url) by the most specific of rules(rule_id, pattern, action).
+
+    action is that of the rule, or "none" (with a null rule_id) where no rule covers the key, the URL is null or has no host (key is
+    then null). Of rules with the same prefix the one with the greatest rule_id counts. Rules without a host,
+    or with a null in any column, cover nothing. Repeated rows each have a result; a null page_id is kept.
+    No pages give no rows; no rules give "none" everywhere. Only the named columns are read.
+    """
+    spark = pages.sparkSession
+    n = partitions(spark)
+    scratch = Scratch(spark, "urls")
+    keyed = scratch.write(pages.select(F.col("page_id").cast("long"), canonical_key(F.col("url")).alias("key")), "keyed")
+    prefixes = scratch.write(rules.select(F.col("rule_id").cast("long"), rule_prefix(F.col("pattern")).alias("prefix"), F.col("action").cast("string")), "rules")
+    prefixes = prefixes.where("prefix <> '' and rule_id is not null and action is not null")
+    last = Window.partitionBy("prefix").orderBy(F.desc("rule_id"), "action")
+    prefixes = prefixes.withColumn("n", F.row_number().over(last)).where("n = 1").drop("n")
+
+    # Bounds from a bounded sample of keys, as a range partitioning takes it; equal keys are split by a salt of page_id.
+    salted = keyed.where("key is not null").withColumn("place", F.concat("key", F.lit("\x00"), F.lpad(F.hex(F.pmod(F.xxhash64("page_id"), F.lit(1 << 20))), 5, "0")))
+    sample = [r.place.encode() for r in salted.orderBy(F.xxhash64("page_id", "key")).select("place").limit(n * SAMPLES_PER_RANGE).collect()]
+    sample = sorted(set(sample))
+    bounds = sorted({sample[len(sample) * i // n] for i in range(1, n)}) if len(sample) > n else []
+    place = _place(bounds)
+
+    urls = salted.select(place("place").alias("pid"), "key", F.lit(1).alias("kind"), F.col("page_id").alias("id"), F.lit(None).cast("string").alias("action"))
+    first, past = place("prefix"), place(F.concat("prefix", F.lit("\U0010ffff")))
+    spans = prefixes.select("rule_id", "prefix", "action", first.alias("a"), past.alias("b"))
+    copies = spans.select(F.explode(F.sequence("a", "b")).alias("pid"), F.col("prefix").alias("key"), F.lit(0).alias("kind"), F.col("rule_id").alias("id"), "action")
+    swept = urls.unionByName(copies).repartitionById(n, F.col("pid")).sortWithinPartitions("pid", "key", "kind").mapInArrow(_sweep, "page_id long, key string, rule_id long, action string")
+    hostless = keyed.where("key is null").select("page_id", "key", F.lit(None).cast("long").alias("rule_id"), F.lit("none").alias("action"))
+    return swept.unionByName(hostless)
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), spark.createDataFrame(RULES, "rule_id long, pattern string, action string"))
+
+
+def _sql_key(x: str) -> str:
+    bare = rf"regexp_replace(regexp_replace(trim({x}), '^[A-Za-z][A-Za-z0-9+.-]*://', ''), '#.*$', '')"
+    host = rf"regexp_replace(regexp_replace(lower(regexp_replace(regexp_replace(regexp_extract({bare}, '^([^/?]*)', 1), '^.*@', ''), ':[0-9]*$', '')), '\.+$', ''), '^www\.', '')"
+    rest = rf"regexp_replace(regexp_extract({bare}, '^[^/?]*(.*)$', 1), '([?&])utm_[^=&]*=[^&]*', '\1', 'g')"
+    rest = rf"regexp_replace(regexp_replace(regexp_replace({rest}, '&+', '&', 'g'), '\?&', '?', 'g'), '[?&]+$', '')"
+    return f"CASE WHEN {host} <> '' THEN array_to_string(list_reverse(string_split({host}, '.')), ',') || ',)' || CASE WHEN {rest} LIKE '/%' THEN {rest} ELSE '/' || {rest} END END"
+
+
+OP3_SQL = f"""
+WITH rules(rule_id, pattern, action) AS (VALUES {", ".join(f"({i}, '{p}', '{a}')" for i, p, a in RULES)}),
+prefixes AS (
+  SELECT rule_id, action, CASE WHEN contains(pattern, '/') THEN {_sql_key("pattern")} ELSE regexp_extract({_sql_key("pattern")}, '^([^)]*)', 1) END AS prefix FROM rules),
+keyed AS (SELECT page_id, {_sql_key("url")} AS key FROM pages),
+matched AS (
+  SELECT k.page_id, k.key, p.rule_id, p.action, row_number() OVER (PARTITION BY k.page_id, k.key ORDER BY length(p.prefix) DESC, p.rule_id DESC) AS n
+  FROM keyed k LEFT JOIN prefixes p ON starts_with(k.key, p.prefix))
+SELECT page_id, key, CAST(rule_id AS BIGINT) AS rule_id, coalesce(action, 'none') AS action FROM matched WHERE n = 1
+"""
