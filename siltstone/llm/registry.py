@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import line_dedup, mixing, near_dup, token_counts, url_filter
+from siltstone.llm import line_dedup, mixing, near_dup, packing, token_counts, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_near_dup": near_dup.op1_near_dup,
         "op3_url_filter": url_filter.op3_url_filter,
+        "op4_packing": packing.op4_packing,
         "op5_line_dedup": line_dedup.op5_line_dedup,
         "op6_mixing": mixing.op6_mixing,
         "op10_token_counts": token_counts.op10_token_counts,
