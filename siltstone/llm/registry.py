@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import line_dedup, mixing, near_dup, packing, token_counts, url_filter
+from siltstone.llm import line_dedup, mixing, near_dup, packing, quality_rules, token_counts, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_packing": packing.op4_packing,
         "op5_line_dedup": line_dedup.op5_line_dedup,
         "op6_mixing": mixing.op6_mixing,
+        "op9_quality_rules": quality_rules.op9_quality_rules,
         "op10_token_counts": token_counts.op10_token_counts,
     }
 
