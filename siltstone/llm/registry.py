@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import line_dedup, mixing, near_dup, packing, quality_rules, token_counts, url_filter
+from siltstone.llm import language_id, line_dedup, mixing, near_dup, packing, quality_rules, token_counts, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_near_dup": near_dup.op1_near_dup,
+        "op2_language_id": language_id.op2_language_id,
         "op3_url_filter": url_filter.op3_url_filter,
         "op4_packing": packing.op4_packing,
         "op5_line_dedup": line_dedup.op5_line_dedup,
