@@ -1,22 +1,59 @@
-"""From raw documents to packed training sequences, in stages that each write a table."""
+"""From raw documents to packed training sequences, in stages that each write a table.
+
+quality rules -> line dedup -> near dedup -> mixing -> packing. All but the last return the columns of
+documents; the last returns the pieces of the packed sequences.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import near_dup
+from siltstone.llm import line_dedup, mixing, near_dup, packing
+from siltstone.llm import quality_rules as rules
+from siltstone.llm._scratch import Scratch
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the isolation forest rejects go."""
+    return rules.drop_rejected(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that occur before, in an earlier document or place, go; a document that has none left goes."""
+    return line_dedup.drop_repeated_lines(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays, that of the least doc_id."""
     return near_dup.drop_near_duplicates(docs)
 
 
-STAGES = [("near dedup", near_dedup)]
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each source gets its share of the tokens: whole epochs, then a weighted sample. Repeated epochs repeat rows."""
+    return mixing.mix_sources(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("line dedup", line_dedup_stage),
+    ("near dedup", near_dedup),
+    ("mixing", mix),
+    ("packing", pack),
+]
+
+#: The quality rules are an isolation forest, which SQL can't express.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    scratch = Scratch(spark, "pipeline")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = scratch.write(stage(spark, docs, sf_dir), f"stage-{i}")
+        if i:
+            scratch.release(f"stage-{i - 1}")
     return docs

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import language_id, line_dedup, mixing, near_dup, packing, quality_rules, token_counts, url_filter
+from siltstone.llm import language_id, line_dedup, media, mixing, near_dup, packing, quality_crf, quality_rules, token_counts, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_packing": packing.op4_packing,
         "op5_line_dedup": line_dedup.op5_line_dedup,
         "op6_mixing": mixing.op6_mixing,
+        "op7_quality_crf": quality_crf.op7_quality_crf,
+        "op8_media": media.op8_media,
         "op9_quality_rules": quality_rules.op9_quality_rules,
         "op10_token_counts": token_counts.op10_token_counts,
     }
