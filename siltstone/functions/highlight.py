@@ -5,11 +5,13 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siltstone.config import HighlightOptions
 from siltstone.functions import text as X
 
 RANGES = "array<struct<start:int,end:int>>"
+RANGES_TYPE = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 SEGMENTS = "array<struct<text:string,highlighted:boolean>>"
 
 
@@ -139,7 +141,7 @@ def match_ranges(text: str | None, needles, most: int = 12) -> list[tuple[int, i
     return out
 
 
-@F.pandas_udf(RANGES)
+@F.pandas_udf(RANGES_TYPE)
 def find_match_ranges(text: pd.Series, needles: pd.Series) -> pd.Series:
     return pd.Series([[{"start": a, "end": b} for a, b in match_ranges(t, n)] for t, n in zip(text, needles)])
 

@@ -211,7 +211,7 @@ def osa(left: str, right: str, most: int) -> int:
     return min(old[-1], most + 1)
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def osa_distance(left: pd.Series, right: pd.Series, most: pd.Series) -> pd.Series:
     return pd.Series([None if a is None or b is None else osa(a, b, m) for a, b, m in zip(left, right, most)], dtype="Int32")
 

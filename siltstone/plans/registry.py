@@ -1,19 +1,307 @@
-"""Queries of the search engine itself, each with its DuckDB SQL where SQL can express it."""
+"""Queries of the search engine over the test tables, each with its DuckDB SQL where SQL can express it."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from siltstone.config import ASCII_GRAM, EXACT, HAN, JOIN, PREFIX, SIGNAL, HighlightOptions, IndexConfig, SearchOptions, SuggestOptions
+from siltstone.functions import highlight as H
+from siltstone.functions import text as X
+from siltstone.operators import build, evaluate
+from siltstone.operators.search import SearchEngine, fuzzy_candidates, rewritten
+from siltstone.operators.search import analyzed as analyze
+from siltstone.plans import duck
+from siltstone.sources import corpora, store
+from siltstone.sources.scratch import Scratch
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+SINGLE = ["apache", "worthless", "license", "mit", "trash", "src4"]
+MULTI = ["apache license", "released under the mit license", "the attion thanedble", "worthless trash", "gnu general public license", "la des leen"]
+JOINED = ["apachelicense", "the apache", "mitlicense", "thanedble the"]
+PREFIXES = ["apa", "wor", "lic", "th", "gener"]
+FALLBACK = ["apachx", "wrthlss", "licence x", "qzqzqz"]
+TYPOS = ["apahce", "wrothless", "licnese", "relased", "threheed"]
+GIBBERISH = ["qqqqqqqqqq", "xkcdqwzj", "1111111健康的那jdnwadjanda", "x", "  ", "健"]
+SUGGESTED = ["app", "lic", "wor", "th", "zzz", "a b", "the"]
+MISTYPED = ["licens3", "apahc", "trahs", "worthlezs"]
+HAN_TEXTS = ["微博热搜榜 hot list", "二维码 qr 码", "翻译 文本 翻译", "abc 微", ""]
+
+_engines: dict[tuple[str, str], SearchEngine] = {}
+
+
+def engine(spark: SparkSession, sf_dir: str) -> SearchEngine:
+    """The documents' index, built once in a session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _engines:
+        _engines[key] = SearchEngine(build.build_index(corpora.documents(spark, sf_dir), corpora.DOCUMENTS))
+    return _engines[key]
+
+
+def without_fuzzy(e: SearchEngine) -> SearchEngine:
+    return SearchEngine(replace(e.index, deletes=e.index.deletes.limit(0)))
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def _hits(hits: DataFrame) -> DataFrame:
+    return hits.select("query_id", F.col("rank").cast("long"), F.col("id").alias("doc_id"), "score")
+
+
+def _searched(texts: list[str], options: SearchOptions = SearchOptions(highlight=False), fuzzy: bool = False) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        e = engine(spark, sf_dir)
+        return _hits((e if fuzzy else without_fuzzy(e)).search(texts, options))
+
+    return run
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+    hits = engine(spark, sf_dir).search([*SINGLE, *MULTI, *TYPOS])
+    return hits.select("query_id", "rank", "id", "score", "tags", "matches")
+
+
+def _channel(*ftypes: int) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return engine(spark, sf_dir).index.postings.where(F.col("ftype").isin(*ftypes)).select(F.col("ftype").cast("int"), "term", "doc_ord", F.col("score").cast("long"))
+
+    return run
+
+
+def _window_joins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Joins of tokens of the conversations' turns, before any pruning."""
+    config = replace(corpora.CONVERSATIONS, tags_field=None).resolved()
+    c = corpora.conversations(spark, sf_dir).withColumn("doc_ord", F.col("conv_id") * 100_000 + F.col("turn"))
+    found = build.document_features(c.repartition("doc_ord"), config).where(F.col("ftype") == JOIN)
+    return found.select("doc_ord", "term", F.col("score").cast("long"))
+
+
+def _han(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = spark.createDataFrame(list(enumerate(HAN_TEXTS)), "doc_ord long, text string")
+    found = build.document_features(texts, IndexConfig({"text": 100}, id_column="doc_ord").resolved())
+    return found.where(F.col("ftype") == HAN).select("doc_ord", "term", F.col("score").cast("long"))
+
+
+def _df_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return engine(spark, sf_dir).index.features.groupBy(F.col("ftype").cast("int").alias("ftype")).agg(F.count("*").alias("features"), F.max("df").cast("long").alias("top_df"))
+
+
+def _manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return engine(spark, sf_dir).stats()
+
+
+def _deletes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return engine(spark, sf_dir).index.deletes.select("deletion", F.col("ftype").cast("int"), "term", F.col("df").cast("long"))
+
+
+def _signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return engine(spark, sf_dir).index.docs.select("doc_ord", "id", "signal_compact", "signal_ascii")
+
+
+def _gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return engine(spark, sf_dir).index.docs.select("doc_ord", "gate_compact", "gate_ascii")
+
+
+def _listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = engine(spark, sf_dir).docs
+    return d.select("doc_ord", "id", F.col("fields")["title"].alias("title"), F.col("fields")["source"].alias("source"), F.array_join("tags", ",").alias("tags"))
+
+
+def _round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Save the index, load it, search: the answers of the index itself."""
+    root = Scratch(spark, "round-trip").root
+    store.save(without_fuzzy(engine(spark, sf_dir)).index, root)
+    return _hits(store.load_index(spark, root).search(SINGLE, SearchOptions(highlight=False)))
+
+
+def _detailed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, corrections, rewrites = engine(spark, sf_dir).search_detailed(TYPOS, SearchOptions(highlight=False))
+    return rewrites.join(corrections, "query_id", "left").select("query_id", "corrected_query", "call", "from", "to", "distance")
+
+
+def _fuzzy_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = engine(spark, sf_dir)
+    texts = spark.createDataFrame(list(enumerate(TYPOS)), "query_id long, text string")
+    return fuzzy_candidates(e.index, analyze(texts), len(TYPOS)).select("query_id", "call", "from", F.col("ftype").cast("int"), "term", "df", "del_ord", "distance", "rank")
+
+
+def _rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation turn, with one word corrected."""
+    q = spark.read.parquet(f"{sf_dir}/conversations.parquet").select((F.col("conv_id") * 100_000 + F.col("turn")).alias("query_id"), "text")
+    fix = q.select("query_id", F.lit(0).alias("call"), F.lit("the").alias("from"), F.lit("that").alias("to"), F.lit(2).alias("distance"))
+    return rewritten(q, fix)
+
+
+def _gibberish(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = engine(spark, sf_dir).search(GIBBERISH, SearchOptions(highlight=False)).groupBy("query_id").agg(F.count("*").alias("hits"))
+    every = spark.createDataFrame(list(enumerate(GIBBERISH)), "query_id long, text string")
+    return every.join(found, "query_id", "left").select("query_id", F.coalesce("hits", F.lit(0)).cast("long").alias("hits"))
+
+
+def _suggested(texts: list[str], options: SuggestOptions) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        s = engine(spark, sf_dir).suggest(texts, options)
+        return s.select("query_id", F.col("rank").cast("long"), "term", F.col("doc_frequency").cast("long"), "kind", "distance")
+
+    return run
+
+
+def _highlighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = engine(spark, sf_dir).search([*SINGLE, *MULTI])
+    return hits.select("query_id", "rank", "id", H.render_hit("fields", "matches", "title", HighlightOptions(tag="em", class_name="hit")).alias("html"), F.to_json("matches").alias("matches"))
+
+
+def _marked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each turn of the conversations with fixed, overlapping ranges."""
+    ranges = F.array(*(F.struct(F.lit(a).alias("start"), F.lit(b).alias("end")) for a, b in ((4, 8), (0, 2), (7, 10), (30, 31))))
+    c = corpora.conversations(spark, sf_dir).where(F.length("text") >= 40).select("turn_id", "text", ranges.alias("ranges"))
+    merged = F.array_join(F.transform(H.merge_ranges("ranges"), lambda r: F.concat(r["start"].cast("string"), F.lit("-"), r["end"].cast("string"))), ",")
+    return c.select("turn_id", merged.alias("merged"), H.render_highlights("text", "ranges").alias("html"))
+
+
+def _needles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return b.select("item_id", F.array_join(F.array_sort(H.highlight_needles("text")), " ").alias("needles"))
+
+
+def _truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = spark.createDataFrame([(i, t.split(" ")) for i, t in enumerate([*SINGLE, *MULTI])], "query_id long, needles array<string>")
+    return evaluate.substring_truth(documents(spark, sf_dir), "doc_id", evaluate.haystack("text"), q)
+
+
+def _recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = without_fuzzy(engine(spark, sf_dir)).search([*SINGLE, *MULTI], SearchOptions(highlight=False))
+    hits = hits.select("query_id", "rank", F.col("id").cast("long").alias("doc_id"))
+    return evaluate.recall(hits, _truth(spark, sf_dir), 10).select("query_id", F.round("recall", 6).alias("recall"))
+
+
+def _statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").where("value is not null")
+    s = evaluate.summary(e, "event_type", "value")
+    return s.select("event_type", *(F.round(c, 6).alias(c) for c in s.columns[1:]))
+
+
+def _ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "event_type", "ts", "value")
+    r = evaluate.latency_ring(e, ["event_type"], ["ts", "event_id"], "value", 50)
+    return r.select("event_id", "p50")
+
+
+def _jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's tokens against those of its first line."""
+    d = documents(spark, sf_dir).select("doc_id", F.array_distinct(X.tokenize("text")).alias("a"), F.array_distinct(X.tokenize(F.substring_index("text", "\n", 1))).alias("b"))
+    return d.select("doc_id", F.round(evaluate.jaccard(F.col("a"), F.col("b")), 6).alias("jaccard"))
+
+
+def _generated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The query mix from all documents' titles; the corpus goes to the driver, as the generator samples it there."""
+    rows = [r.asDict() for r in corpora.documents(spark, sf_dir).select("doc_id", "title").orderBy("doc_id").collect()]
+    return spark.createDataFrame(evaluate.generate_queries(rows, 300), "query_id long, kind string, text string, needles array<string>")
+
+
+def _pages_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return build.build_index(corpora.pages(spark, sf_dir), corpora.PAGES).stats()
+
+
+def _parts_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _hits(SearchEngine(build.build_index(corpora.parts(spark, sf_dir), corpora.PARTS)).search(["brand", "part 12"], SearchOptions(highlight=False)))
+
+
+def _text(table: str, key: str, column: str, **made) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        t = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+        return t.select(key, *(f(column).alias(n) for n, f in made.items()))
+
+    return run
+
+
+def _parts(**made) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        t = spark.read.parquet(f"{sf_dir}/part.parquet")
+        return t.select("p_partkey", *(f().alias(n) for n, f in made.items()))
+
+    return run
+
+
+def _osa(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = spark.read.parquet(f"{sf_dir}/part.parquet")
+    return t.select("p_partkey", X.osa_distance(F.lower("p_type"), F.lower("p_name"), F.lit(60)).alias("distance"))
+
+
+def _values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values of several types as text."""
+    t = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    pair = F.struct("o_orderkey", F.array("o_orderstatus", "o_orderpriority").alias("marks"))
+    d = t.select("o_orderkey", pair.alias("v"), F.floor("o_totalprice").cast("double").alias("whole"))
+    kind = dict((f.name, f.dataType) for f in d.schema.fields)
+    return d.select("o_orderkey", X.value_text("v", kind["v"]).alias("joined"), X.value_text("whole", kind["whole"]).alias("whole"))
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    plain = SearchOptions(highlight=False)
+    return {
+        "normalize_documents": _text("documents", "doc_id", "text", normalized=X.normalize_text),
+        "tokenize_documents": _text("documents", "doc_id", "text", tokens=lambda c: F.array_join(X.tokenize(c), "|"), n_tokens=lambda c: F.size(X.tokenize(c)).cast("long")),
+        "compact_join": _text("documents", "doc_id", "text", compact=X.compact_join),
+        "ascii_join": _text("documents", "doc_id", "text", ascii=X.ascii_join),
+        "collapse_whitespace": _text("pages", "page_id", "html", collapsed=X.collapse_whitespace),
+        "token_classes": _text("documents", "doc_id", "text", n_ascii=lambda c: F.size(F.filter(X.tokenize(c), X.is_ascii_token)).cast("long"), n_han=lambda c: F.size(F.filter(X.tokenize(c), X.is_han_char)).cast("long")),
+        "token_bigrams": _parts(grams=lambda: F.array_join(X.grams(F.lower("p_name"), 2, 3), "|")),
+        "bigram_overlap_parts": _parts(overlap=lambda: F.round(X.bigram_overlap(F.lower("p_name"), F.lower("p_type")), 6)),
+        "osa_distance_parts": _osa,
+        "delete_variants": _parts(one=lambda: F.array_join(X.deletions("p_brand"), "|"), two=lambda: F.size(X.deletions("p_brand", True)).cast("long")),
+        "field_value_text": _values,
+        "escape_html": _text("pages", "page_id", "html", escaped=H.escape_html),
+        "format_units": _parts(size=lambda: X.format_bytes(F.col("p_partkey") * 977), time=lambda: X.format_ms(F.col("p_partkey") / 8), varint=lambda: X.varint_size(F.col("p_partkey") * F.col("p_partkey")).cast("long")),
+        "exact_postings": _channel(EXACT),
+        "prefix_postings": _channel(PREFIX),
+        "signal_features": _channel(SIGNAL),
+        "compact_joins": _channel(JOIN),
+        "ascii_bigrams": _channel(ASCII_GRAM),
+        "window_joins": _window_joins,
+        "han_bigrams": _han,
+        "doc_signals": _signals,
+        "gate_signals": _gates,
+        "df_prune": _df_prune,
+        "index_manifest": _manifest,
+        "correction_deletes": _deletes,
+        "docs_listing": _listing,
+        "index_round_trip": _round_trip,
+        "search_single": _searched(SINGLE),
+        "search_multi_token": _searched(MULTI),
+        "search_joined": _searched(JOINED),
+        "search_prefix": _searched(PREFIXES),
+        "search_bigram_fallback": _searched(FALLBACK),
+        "search_filtered": _searched(SINGLE, replace(plain, keep=F.array_contains("tags", "en"))),
+        "search_rescored": _searched(SINGLE, replace(plain, rescore=F.col("score") + F.col("doc_ord") % 7 * 10)),
+        "search_prefiltered": _searched(SINGLE, replace(plain, prefilter=F.array_contains("tags", "en"))),
+        "search_limited": _searched([*SINGLE, *MULTI], replace(plain, limit=3, min_score_ratio=0.5)),
+        "search_fuzzy": _searched(TYPOS, fuzzy=True),
+        "search_gibberish": _gibberish,
+        "fuzzy_candidates": _fuzzy_terms,
+        "did_you_mean": _detailed,
+        "rewrite_queries": _rewrite,
+        "suggest_prefix": _suggested(SUGGESTED, SuggestOptions(fuzzy=False)),
+        "suggest_fuzzy": _suggested(MISTYPED, SuggestOptions()),
+        "highlight_hits": _highlighted,
+        "render_ranges": _marked,
+        "highlight_needles": _needles,
+        "substring_truth": _truth,
+        "recall_at_10": _recall,
+        "latency_statistics": _statistics,
+        "latency_ring": _ring,
+        "token_jaccard": _jaccard,
+        "generated_queries": _generated,
+        "pages_index": _pages_index,
+        "parts_search": _parts_search,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return duck.queries()
