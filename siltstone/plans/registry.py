@@ -54,10 +54,13 @@ def _hits(hits: DataFrame) -> DataFrame:
     return hits.select("query_id", F.col("rank").cast("long"), F.col("id").alias("doc_id"), "score")
 
 
-def _searched(texts: list[str], options: SearchOptions = SearchOptions(highlight=False), fuzzy: bool = False) -> Query:
+def _searched(texts: list[str], fuzzy: bool = False, **options) -> Query:
+    """options: those of SearchOptions; a Column is given as a function, for it can only be made in a session."""
+
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         e = engine(spark, sf_dir)
-        return _hits((e if fuzzy else without_fuzzy(e)).search(texts, options))
+        made = {k: v() if callable(v) else v for k, v in options.items()}
+        return _hits((e if fuzzy else without_fuzzy(e)).search(texts, SearchOptions(highlight=False, **made)))
 
     return run
 
@@ -244,7 +247,6 @@ def _values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    plain = SearchOptions(highlight=False)
     return {
         "normalize_documents": _text("documents", "doc_id", "text", normalized=X.normalize_text),
         "tokenize_documents": _text("documents", "doc_id", "text", tokens=lambda c: F.array_join(X.tokenize(c), "|"), n_tokens=lambda c: F.size(X.tokenize(c)).cast("long")),
@@ -278,10 +280,10 @@ def queries() -> dict[str, Query]:
         "search_joined": _searched(JOINED),
         "search_prefix": _searched(PREFIXES),
         "search_bigram_fallback": _searched(FALLBACK),
-        "search_filtered": _searched(SINGLE, replace(plain, keep=F.array_contains("tags", "en"))),
-        "search_rescored": _searched(SINGLE, replace(plain, rescore=F.col("score") + F.col("doc_ord") % 7 * 10)),
-        "search_prefiltered": _searched(SINGLE, replace(plain, prefilter=F.array_contains("tags", "en"))),
-        "search_limited": _searched([*SINGLE, *MULTI], replace(plain, limit=3, min_score_ratio=0.5)),
+        "search_filtered": _searched(SINGLE, keep=lambda: F.array_contains("tags", "en")),
+        "search_rescored": _searched(SINGLE, rescore=lambda: F.col("score") + F.col("doc_ord") % 7 * 10),
+        "search_prefiltered": _searched(SINGLE, prefilter=lambda: F.array_contains("tags", "en")),
+        "search_limited": _searched([*SINGLE, *MULTI], limit=3, min_score_ratio=0.5),
         "search_fuzzy": _searched(TYPOS, fuzzy=True),
         "search_gibberish": _gibberish,
         "fuzzy_candidates": _fuzzy_terms,
