@@ -57,13 +57,18 @@ def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rows([first[2]], [first[3]], (*first[:2], *last[:2]))
 
 
-def _runs(drops: Column, n: Column) -> Column:
-    """Run lengths, keep first, from the sorted positions of the dropped lines and the number of lines."""
+def _runs(drops: Column) -> Column:
+    """Run lengths, keep first, from the sorted positions of the dropped lines, up to the last one."""
     after = F.transform(drops, lambda x: x + 1)
     starts, ends = F.array_except(drops, after), F.array_except(after, drops)
-    turns = F.concat(F.flatten(F.zip_with(starts, ends, lambda a, b: F.array(a, b))), F.array(n))
+    turns = F.flatten(F.zip_with(starts, ends, lambda a, b: F.array(a, b)))
     lengths = F.zip_with(turns, F.concat(F.array(F.lit(0)), turns), lambda x, y: x - y)
-    return F.array_join(F.filter(lengths, lambda x, i: (i == 0) | (x > 0)), ",")
+    return F.filter(lengths, lambda x, i: x.isNotNull() & ((i == 0) | (x > 0)))
+
+
+def _kept_flags(drops: Column) -> Column:
+    """Whether each line stays, up to the last dropped one."""
+    return F.flatten(F.transform(_runs(drops), lambda n, i: F.array_repeat(i % 2 == 0, n)))
 
 
 def repeated_lines(documents: DataFrame, scratch: Scratch) -> DataFrame:
@@ -99,7 +104,9 @@ def line_bitmaps(documents: DataFrame) -> DataFrame:
     counts = documents.where("doc_id is not null").select(F.col("doc_id").cast("long"), n.alias("n_lines"))
     own = F.filter(F.coalesce("drops", F.expr("array()").cast("array<int>")), lambda x: x < F.col("n_lines"))
     found = counts.join(drops, "doc_id", "left").withColumn("drops", own)
-    return found.select("doc_id", "n_lines", F.size("drops").alias("n_dropped"), _runs(F.col("drops"), F.col("n_lines")).alias("keep_runs"))
+    past = F.coalesce(F.array_max("drops") + 1, F.lit(0))
+    runs = F.concat(F.transform(_runs(F.col("drops")), lambda n: n.cast("string")), F.when((past < F.col("n_lines")) | (past == 0), F.array((F.col("n_lines") - past).cast("string"))).otherwise(F.array().cast("array<string>")))
+    return found.select("doc_id", "n_lines", F.size("drops").alias("n_dropped"), F.array_join(runs, ",").alias("keep_runs"))
 
 
 def drop_repeated_lines(documents: DataFrame) -> DataFrame:
@@ -111,15 +118,12 @@ def drop_repeated_lines(documents: DataFrame) -> DataFrame:
     scratch = Scratch(documents.sparkSession, "linededup")
     drops = repeated_lines(documents, scratch).select(F.col("doc_id").alias("_ss_doc"), F.col("drops").alias("_ss_drops"))
     joined = documents.join(drops, documents["doc_id"].cast("long") == F.col("_ss_doc"), "left")
-    split = joined.withColumn("_ss_lines", F.when(F.col("_ss_drops").isNotNull(), F.split("text", "\n"))).withColumn("_ss_n", F.size("_ss_lines"))
-    runs = F.split(_runs(F.filter("_ss_drops", lambda x: x < F.col("_ss_n")), F.col("_ss_n")), ",").cast("array<int>")
-    keep = F.flatten(F.transform(runs, lambda n, i: F.array_repeat(i % 2 == 0, n)))
-    with_keep = split.withColumn("_ss_keep", F.when(F.col("_ss_lines").isNotNull(), keep))
-    with_lines = with_keep.withColumn("_ss_left", F.when(F.col("_ss_lines").isNotNull(), F.filter("_ss_lines", lambda x, i: F.element_at("_ss_keep", i + 1))))
-    kept = with_lines.where("_ss_left is null or exists(_ss_left, x -> trim(translate(x, '\\r\\t', '  ')) <> '')")
-    text = F.when(F.col("_ss_left").isNull(), F.col("text")).otherwise(F.array_join("_ss_left", "\n"))
-    out = kept.withColumn("_ss_text", text)
-    made = {"text": F.col("_ss_text")} | ({"n_chars": F.when(F.col("_ss_left").isNull(), F.col("n_chars")).otherwise(F.length("_ss_text")).cast(documents.schema["n_chars"].dataType)} if "n_chars" in documents.columns else {})
+    # No lambda here refers to a computed column: Catalyst would inline it and evaluate it for each element.
+    pairs = F.filter(F.arrays_zip(F.split("text", "\n").alias("line"), _kept_flags(F.col("_ss_drops")).alias("keep")), lambda z: z["line"].isNotNull() & F.coalesce(z["keep"], F.lit(True)))
+    left = F.when(F.col("_ss_drops").isNotNull(), F.array_join(F.transform(pairs, lambda z: z["line"]), "\n")).otherwise(F.col("text"))
+    # The generator keeps the new text from being computed once for the filter and again for each column.
+    out = joined.withColumn("_ss_text", F.explode(F.array(left))).where(F.col("_ss_drops").isNull() | (F.trim(F.translate("_ss_text", "\r\t\n", "   ")) != ""))
+    made = {"text": F.col("_ss_text")} | ({"n_chars": F.when(F.col("_ss_drops").isNull(), F.col("n_chars")).otherwise(F.length("_ss_text")).cast(documents.schema["n_chars"].dataType)} if "n_chars" in documents.columns else {})
     return out.select(*(made[c].alias(c) if c in made else F.col(f"`{c}`") for c in documents.columns))
 
 
