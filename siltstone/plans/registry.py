@@ -24,7 +24,7 @@ SINGLE = ["apache", "worthless", "license", "mit", "trash", "src4"]
 MULTI = ["apache license", "released under the mit license", "the attion thanedble", "worthless trash", "gnu general public license", "la des leen"]
 JOINED = ["apachelicense", "the apache", "mitlicense", "thanedble the"]
 PREFIXES = ["apa", "wor", "lic", "th", "gener"]
-FALLBACK = ["apachx", "wrthlss", "licence x", "qzqzqz"]
+FALLBACK = ["apachx", "wrthlss", "licence x", "qzqzqz", "rc4", "rc 7"]
 TYPOS = ["apahce", "wrothless", "licnese", "relased", "threheed"]
 GIBBERISH = ["qqqqqqqqqq", "xkcdqwzj", "1111111健康的那jdnwadjanda", "x", "  ", "健"]
 SUGGESTED = ["app", "lic", "wor", "th", "zzz", "a b", "the"]
