@@ -1,12 +1,12 @@
 """Best-fit packing of documents into sequences of CAPACITY tokens, bulk-synchronous.
 
-Size classes are packed from the largest down, each by a few supersteps. A superstep range-sorts the class's
+Size classes (octaves, and one of all small sizes) are packed from the largest down, each by a few supersteps. A superstep range-sorts the class's
 documents and the gaps together by falling size and sweeps every partition: a gap goes on a stack, a document
 takes the top, which is the smallest gap left that holds it (its successor). A gap of many times the class's size
 offers several slots at once. Documents that find their partition's stack empty, and gaps left on it, keep their
 ranks; from the partitions' counts alone it then follows which rank of which partition takes which, as
 brackets match, and one join carries it out. Gaps are updated and the step is repeated while it places
-documents; those that are left open new sequences.
+documents; of those that are left, the largest open new sequences, as many as would hold them all.
 """
 
 from __future__ import annotations
@@ -22,7 +22,9 @@ from pyspark.sql.window import Window
 from siltstone.llm._scratch import Scratch
 from siltstone.llm.mixing import token_estimate
 
-CAPACITY, STEPS = 2048, 3
+CAPACITY, STEPS = 2048, 2
+#: Sizes up to capacity / 2 ** SMALL are one class.
+SMALL = 4
 #: Rows of documents and gaps that a partition of a sweep gets.
 SWEEP_ROWS = 100_000
 
@@ -98,6 +100,22 @@ def _numbered(df: DataFrame, scratch: Scratch, name: str) -> tuple[DataFrame, in
     return at.join(F.broadcast(offsets), pid == F.col("_p")).withColumn("n", F.col("_o") + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))).drop("_m", "_p", "_o"), total
 
 
+def _taken(swept: DataFrame, plan: list[tuple[int, int, int, int, int]]) -> DataFrame:
+    """(id, size, bin) of a sweep: its own matches and those of the plan over its partitions' open rows."""
+    here = swept.where(F.col("kind") == MATCHED).select("id", "size", "bin")
+    if not plan:
+        return here
+    spark = swept.sparkSession
+    stretch = F.broadcast(spark.createDataFrame(plan, "p int, a long, b long, gap_pid int, first long"))
+    docs = swept.where(F.col("kind") == OPEN_DOC).join(stretch, (F.col("pid") == F.col("p")) & (F.col("rank") >= F.col("a")) & (F.col("rank") < F.col("b"))).select("id", "size", "gap_pid", (F.col("first") + F.col("rank") - F.col("a")).alias("slot"))
+    most: dict[int, int] = {}
+    for _, a, b, p, first in plan:
+        most[p] = max(most.get(p, 0), first + b - a)
+    used = F.broadcast(spark.createDataFrame(list(most.items()), "p int, most long"))
+    cells = swept.where(F.col("kind") == OPEN_GAP).join(used, F.col("pid") == F.col("p")).where("rank < most").select(F.col("pid").alias("gap_pid"), "bin", F.explode(F.sequence(F.col("rank"), F.least(F.col("rank") + F.col("slots"), F.col("most")) - 1)).alias("slot"))
+    return here.union(docs.join(cells, ["gap_pid", "slot"]).select("id", "size", "bin"))
+
+
 def pack(documents: DataFrame, capacity: int = CAPACITY, tokens: str | None = None) -> DataFrame:
     """(doc_id, chunk, n_tokens, sequence, offset) for each piece of each document.
 
@@ -115,55 +133,53 @@ def pack(documents: DataFrame, capacity: int = CAPACITY, tokens: str | None = No
     out = [full.select("doc_id", "chunk", F.lit(capacity).alias("n_tokens"), F.col("n").alias("sequence"), F.lit(0).alias("offset"))]
     rests = scratch.write(lengths.where(F.col("n") % capacity > 0).select("id", "doc_id", F.floor(F.col("n") / capacity).cast("int").alias("chunk"), (F.col("n") % capacity).cast("int").alias("size")), "rests")
 
-    octave = F.floor(F.log2(F.lit(float(capacity)) / F.col("size"))).cast("int")
-    classes = {r.c: r.k for r in rests.groupBy(octave.alias("c")).agg(F.count("*").alias("k")).collect()}
+    octave = F.least(F.floor(F.log2(F.lit(float(capacity)) / F.col("size"))), F.lit(SMALL)).cast("int")
+    classes = {r.c: (r.k, r.t) for r in rests.groupBy(octave.alias("c")).agg(F.count("*").alias("k"), F.sum("size").alias("t")).collect()}
     placed: list[DataFrame] = []
     gaps, n_gaps, step = spark.createDataFrame([], "bin long, gap int"), 0, 0
     for c in sorted(classes):
-        left, n_left = rests.where(octave == c).select("id", "size"), classes[c]
-        # Sizes of class c are above capacity / 2**(c + 1) and at most hi.
-        hi, low = capacity // (1 << c), capacity // (1 << (c + 1))
-        for attempt in range(STEPS):
-            if not n_left or not n_gaps:
-                break
-            step += 1
-            offered = gaps.where(F.col("gap") > low).select(F.lit(False).alias("is_doc"), F.col("bin").alias("id"), F.col("gap").alias("size"), F.greatest(F.lit(1), F.floor(F.col("gap") / hi)).cast("int").alias("slots"))
-            both = offered.union(left.select(F.lit(True), "id", "size", F.lit(0)))
-            width = max(1, -(-(n_left + n_gaps) // SWEEP_ROWS))
-            order = [F.desc("size"), F.asc("is_doc"), F.asc("id")]
-            swept = scratch.write(both.repartitionByRange(width, *order).sortWithinPartitions(*order).mapInArrow(_sweep, SWEPT_DDL), f"swept-{step}")
-            counts = swept.groupBy("kind", "pid").agg(F.count("*").alias("k"), F.sum("slots").alias("s")).collect()
-            plan, taken = _brackets({r.pid: r.k for r in counts if r.kind == OPEN_DOC}, {r.pid: r.s for r in counts if r.kind == OPEN_GAP})
-            matched = sum(r.k for r in counts if r.kind == MATCHED) + sum(taken.values())
-            if not matched:
-                break
-            here = swept.where(F.col("kind") == MATCHED).select("id", "size", "bin")
-            open_docs, open_gaps = swept.where(F.col("kind") == OPEN_DOC), swept.where(F.col("kind") == OPEN_GAP)
-            if plan:
-                stretch = F.broadcast(spark.createDataFrame(plan, "p int, a long, b long, gap_pid int, first long"))
-                docs = open_docs.join(stretch, (F.col("pid") == F.col("p")) & (F.col("rank") >= F.col("a")) & (F.col("rank") < F.col("b"))).select("id", "size", "gap_pid", (F.col("first") + F.col("rank") - F.col("a")).alias("slot"))
-                most: dict[int, int] = {}
-                for _, a, b, p, first in plan:
-                    most[p] = max(most.get(p, 0), first + b - a)
-                used = F.broadcast(spark.createDataFrame(list(most.items()), "p int, most long"))
-                cells = open_gaps.join(used, F.col("pid") == F.col("p")).where("rank < most").select(F.col("pid").alias("gap_pid"), "bin", F.explode(F.sequence(F.col("rank"), F.least(F.col("rank") + F.col("slots"), F.col("most")) - 1)).alias("slot"))
-                here = here.union(docs.join(cells, ["gap_pid", "slot"]).select("id", "size", "bin"))
-            placed.append(scratch.write(here, f"placed-{step}"))
-            filled = placed[-1].groupBy("bin").agg(F.sum("size").alias("used"))
-            gaps = scratch.write(gaps.join(filled, "bin", "left").select("bin", (F.col("gap") - F.coalesce("used", F.lit(0))).cast("int").alias("gap")).where("gap > 0"), f"gaps-{step}")
-            done = F.broadcast(spark.createDataFrame(list(taken.items()), "p int, t long")) if taken else None
-            rest = open_docs.join(done, F.col("pid") == F.col("p")).where("rank >= t") if taken else open_docs
-            left, n_left = rest.select("id", "size"), n_left - matched
-        if n_left:
-            step += 1
-            slots = capacity // hi
-            order = [F.desc("size"), F.asc("id")]
-            ranked, _ = _numbered(left.repartitionByRange(max(1, -(-n_left // SWEEP_ROWS)), *order).sortWithinPartitions(*order), scratch, f"opening-{step}")
-            placed.append(scratch.write(ranked.select("id", "size", (F.floor(F.col("n") / slots) + sequences).alias("bin")), f"placed-{step}"))
-            sequences += -(-n_left // slots)
-            opened = placed[-1].groupBy("bin").agg((F.lit(capacity) - F.sum("size")).cast("int").alias("gap")).where("gap > 0")
-            gaps = scratch.write(gaps.union(opened), f"gaps-{step}")
-        n_gaps = gaps.count()
+        left, (n_left, tokens_left) = rests.where(octave == c).select("id", "size"), classes[c]
+        # Sizes of class c are above low and at most hi.
+        hi, low = max(1, capacity >> c), capacity >> (c + 1) if c < SMALL else 0
+        slots = capacity // hi
+        while n_left:
+            for _ in range(STEPS):
+                if not n_left or not n_gaps:
+                    break
+                step += 1
+                offered = gaps.where(F.col("gap") > low).select(F.lit(False).alias("is_doc"), F.col("bin").alias("id"), F.col("gap").alias("size"), F.greatest(F.lit(1), F.floor(F.col("gap") / hi)).cast("int").alias("slots"))
+                both = offered.union(left.select(F.lit(True), "id", "size", F.lit(0)))
+                width = max(1, -(-(n_left + n_gaps) // SWEEP_ROWS))
+                order = [F.desc("size"), F.asc("is_doc"), F.asc("id")]
+                swept = scratch.write(both.repartitionByRange(width, *order).sortWithinPartitions(*order).mapInArrow(_sweep, SWEPT_DDL), f"swept-{step}")
+                counts = swept.groupBy("kind", "pid").agg(F.count("*").alias("k"), F.sum("slots").alias("s"), F.sum("size").alias("t")).collect()
+                plan, taken = _brackets({r.pid: r.k for r in counts if r.kind == OPEN_DOC}, {r.pid: r.s for r in counts if r.kind == OPEN_GAP})
+                matched = sum(r.k for r in counts if r.kind == MATCHED) + sum(taken.values())
+                if not matched:
+                    break
+                here = _taken(swept, plan)
+                placed.append(here)
+                filled = here.groupBy("bin").agg(F.sum("size").alias("used"))
+                gaps = scratch.write(gaps.join(filled, "bin", "left").select("bin", (F.col("gap") - F.coalesce("used", F.lit(0))).cast("int").alias("gap")).where("gap > 0"), f"gaps-{step}")
+                open_docs = swept.where(F.col("kind") == OPEN_DOC)
+                done = F.broadcast(spark.createDataFrame(list(taken.items()), "p int, t long")) if taken else None
+                left = (open_docs.join(done, F.col("pid") == F.col("p")).where("rank >= t") if taken else open_docs).select("id", "size")
+                n_left -= matched
+                if n_left and c == SMALL:
+                    tokens_left = left.agg(F.sum("size")).first()[0]
+            if n_left:
+                step += 1
+                order = [F.desc("size"), F.asc("id")]
+                ranked, _ = _numbered(left.repartitionByRange(max(1, -(-n_left // SWEEP_ROWS)), *order).sortWithinPartitions(*order), scratch, f"opening-{step}")
+                # Sizes of an octave fill more than half of their slots; of the small ones only the largest open sequences, and the others are tried on these.
+                opening = -(-n_left // slots) if c < SMALL else min(-(-n_left // slots), -(-tokens_left // capacity))
+                first = ranked.where(F.col("n") < opening * slots).select("id", "size", (F.floor(F.col("n") / slots) + sequences).alias("bin"))
+                placed.append(first)
+                sequences += opening
+                opened = first.groupBy("bin").agg((F.lit(capacity) - F.sum("size")).cast("int").alias("gap")).where("gap > 0")
+                gaps = scratch.write(gaps.union(opened), f"gaps-{step}")
+                left, n_left = ranked.where(F.col("n") >= opening * slots).select("id", "size"), max(0, n_left - opening * slots)
+            n_gaps = gaps.count()
 
     if placed:
         every = placed[0]
