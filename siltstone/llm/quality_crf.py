@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm import _features
-from siltstone.llm.quality_rules import calibrated, labelled_sample
+from siltstone.llm.quality_rules import calibrated, first_half, labelled_sample
 
 #: The bound of the fit: labelled documents of each label that are trained and calibrated on, by least hash of doc_id.
 LABELLED_ROWS = 3_000
@@ -129,8 +129,9 @@ def fit(documents: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> d
     for bad in (True, False):
         own = labels.where(F.col("quality") <= 0 if bad else F.col("quality") > 0)
         found += [(r._id, r.text, r.quality) for r in labelled_sample(documents, own, rows).collect()]
-    found.sort(key=lambda r: (r[0], r[1]))
-    halves = [found[0::2], found[1::2]]
+    found.sort()
+    half = first_half(np.array([r[0] for r in found], np.int64), np.array([r[2] > 0 for r in found], bool))
+    halves = [[r for r, h in zip(found, half) if h], [r for r, h in zip(found, half) if not h]]
     if any(len({r[2] > 0 for r in half}) < 2 for half in halves):
         return None
     line, _, first, label = _measured(halves[0])

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm import _features
+from siltstone.llm import _kernels as K
 from siltstone.llm._scratch import sized
 
 TREES, SAMPLE, DEPTH, MARGIN, SEED = 200, 256, 10, 1.0, 11
@@ -38,8 +39,16 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, rows: int = LABELLE
     return texts.join(sized(ids, rows), "_id").select("_id", "text", "quality")
 
 
-def measured_sample(documents: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> tuple[np.ndarray, np.ndarray]:
-    """Document features and labels (True: good) of the labelled sample, in order of doc_id."""
+def first_half(ids: np.ndarray, good: np.ndarray) -> np.ndarray:
+    """True for every second row of each label in the order of the hash of its id, so that both halves have both labels."""
+    order = np.lexsort((K.mix(ids.astype(np.uint64)), good))
+    out = np.zeros(len(ids), bool)
+    out[order[0::2]] = True
+    return out
+
+
+def measured_sample(documents: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """doc_ids, document features and labels (True: good) of the labelled sample, in order of doc_id."""
     width = len(_features.DOC_FEATURES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -50,8 +59,8 @@ def measured_sample(documents: DataFrame, labels: DataFrame, rows: int = LABELLE
 
     sample = labelled_sample(documents, labels, rows).select("_id", "text", F.col("quality").cast("long"))
     found = sorted((r.id, *r.features, r.quality) for r in sample.mapInArrow(run, "id long, features array<double>, quality long").collect())
-    table = np.array(found, float).reshape(-1, width + 2)
-    return table[:, 1:-1], table[:, -1] > 0
+    table = np.array([r[1:] for r in found], float).reshape(-1, width + 1)
+    return np.array([r[0] for r in found], np.int64), table[:, :-1], table[:, -1] > 0
 
 
 def deviations(features: np.ndarray, mean: np.ndarray, spread: np.ndarray) -> np.ndarray:
@@ -126,8 +135,8 @@ def calibrated(scores: np.ndarray, good: np.ndarray, most_lost: float = MAX_GOOD
 
 def fit(documents: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> dict:
     """Forest and threshold, grown on one half of the labelled sample's good rows and calibrated on the whole of the other half."""
-    features, good = measured_sample(documents, labels, rows)
-    half = np.arange(len(good)) % 2 == 0
+    ids, features, good = measured_sample(documents, labels, rows)
+    half = first_half(ids, good)
     grown = features[half & good] if (half & good).any() else features[good]
     if len(grown) < 2:
         return {"forest": None, "threshold": float("inf")}
