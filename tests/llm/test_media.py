@@ -1,0 +1,123 @@
+import random
+import struct
+import zlib
+
+import numpy as np
+import pytest
+
+from siltstone.llm import media
+
+
+def chunk(kind: bytes, body: bytes) -> bytes:
+    return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+
+
+def png(width, height, depth, colour, raw: bytes, extra: bytes = b"", interlaced=0) -> bytes:
+    return media.SIGNATURE + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, depth, colour, 0, 0, interlaced)) + extra + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
+
+
+@pytest.mark.parametrize("kinds", [(0,), (1,), (2,), (3,), (4,), (4, 3, 2, 1, 0)])
+@pytest.mark.parametrize("shape", [(1, 1), (7, 13), (32, 5)])
+def test_every_filter_is_undone(kinds, shape):
+    grey = np.random.default_rng(sum(shape)).integers(0, 256, shape)
+    pixels, depth, colour = media.decode(media.encode(grey, kinds))
+    assert (depth, colour) == (8, 0) and (np.round(pixels[:, :, 0] * 255) == grey).all() and (pixels[:, :, 3] == 1).all()
+
+
+@pytest.mark.parametrize("depth", [1, 2, 4, 8, 16])
+def test_depths(depth):
+    rng = np.random.default_rng(depth)
+    values = rng.integers(0, 1 << depth, (5, 11))
+    bits = (values[:, :, None] >> np.arange(depth - 1, -1, -1)) & 1
+    rows = np.packbits(bits.reshape(5, -1).astype(np.uint8), axis=1)
+    pixels, _, _ = media.decode(png(11, 5, depth, 0, b"".join(b"\0" + r.tobytes() for r in rows)))
+    assert np.allclose(pixels[:, :, 0] * ((1 << depth) - 1), values)
+
+
+def test_colours_palettes_and_transparency():
+    rgba = np.random.default_rng(4).integers(0, 256, (4, 6, 4)).astype(np.uint8)
+    pixels, _, _ = media.decode(png(6, 4, 8, 6, b"".join(b"\0" + r.tobytes() for r in rgba)))
+    assert np.allclose(pixels * 255, rgba)
+    index = np.array([[0, 1, 2], [2, 1, 0]], np.uint8)
+    palette = bytes([255, 0, 0, 0, 255, 0, 0, 0, 255])
+    pixels, _, _ = media.decode(png(3, 2, 8, 3, b"".join(b"\0" + r.tobytes() for r in index), chunk(b"PLTE", palette) + chunk(b"tRNS", bytes([0, 128]))))
+    assert np.allclose(pixels[0] * 255, [[255, 0, 0, 0], [0, 255, 0, 128], [0, 0, 255, 255]])
+
+
+@pytest.mark.parametrize("size", [(8, 8), (13, 9), (1, 3), (2, 2)])
+def test_interlacing(size):
+    width, height = size
+    grey = np.random.default_rng(width).integers(0, 256, (height, width)).astype(np.uint8)
+    raw = b""
+    for x, y, dx, dy in media.ADAM7:
+        part = grey[y::dy, x::dx]
+        if part.size:
+            raw += b"".join(b"\0" + r.tobytes() for r in part)
+    pixels, _, _ = media.decode(png(width, height, 8, 0, raw, interlaced=1))
+    assert np.allclose(pixels[:, :, 0] * 255, grey)
+
+
+def test_damage_is_found():
+    whole = media.encode(np.arange(64).reshape(8, 8))
+    for at in range(8, len(whole), 3):
+        with pytest.raises(media.Malformed):
+            media.decode(whole[:at] + bytes([whole[at] ^ 4]) + whole[at + 1 :])
+        with pytest.raises(media.Malformed):
+            media.decode(whole[:at])
+    for raw in (b"", b"\0" * 71, b"\0" * 73, b"\x07" + b"\0" * 71):
+        with pytest.raises(media.Malformed):
+            media.decode(png(8, 8, 8, 0, raw))
+    with pytest.raises(media.Malformed, match="too large"):
+        media.decode(png(1 << 20, 1 << 20, 8, 0, b""))
+
+
+def distance(a: bytes, b: bytes) -> int:
+    return (int.from_bytes(a) ^ int.from_bytes(b)).bit_count()
+
+
+def test_hashes_of_like_pictures_are_near():
+    rng = np.random.default_rng(1)
+    hashes, near = [], []
+    for _ in range(30):
+        coarse = rng.random((6, 6))
+        grey = np.kron(coarse, np.ones((20, 20)))
+        picture = lambda g: media.picture_hash(np.dstack([g, g, g, np.ones_like(g)]))
+        own = picture(grey)
+        near += [distance(own, picture(np.clip(grey * 0.9 + 0.03 + rng.normal(0, 0.01, grey.shape), 0, 1))), distance(own, picture(grey[::2, ::2]))]
+        hashes.append(own)
+    apart = [distance(a, b) for i, a in enumerate(hashes) for b in hashes[:i]]
+    # Of 64 bits: those of coefficients close to the median may turn, half of all do in an unrelated picture.
+    assert np.mean(near) <= 6 and max(near) <= 16 and np.mean(apart) > 24
+
+
+def test_hash_equals_a_plain_cosine_transform():
+    g = np.random.default_rng(2).random((32, 32))
+    low = np.array([[sum(g[y, x] * np.cos(np.pi / 32 * (y + 0.5) * u) * np.cos(np.pi / 32 * (x + 0.5) * v) for y in range(32) for x in range(32)) for v in range(8)] for u in range(8)])
+    low[0, 0] = 0
+    assert media.picture_hash(np.dstack([g, g, g, np.ones_like(g)])) == np.packbits(low.reshape(-1) > np.median(low)).tobytes()
+
+
+def test_edges(spark):
+    sound = media.encode(np.arange(100).reshape(10, 10))
+    rows = [(1, sound), (1, sound), (2, None), (3, b""), (4, sound[:-5]), (None, sound), (5, sound[:40] + b"x" + sound[41:]), (6, b"GIF89a"), (7, media.encode(np.zeros((1500, 1500), int), (0,)))]
+    df = spark.createDataFrame([(k, x, "clash", 1) for k, x in rows], "key long, image binary, status string, width int")
+    found = media.hash_images(df, "key", "image").collect()
+    assert sorted((r.key or 0, r.status) for r in found) == [(0, "ok"), (1, "ok"), (1, "ok"), (2, "null"), (3, "not a png"), (4, "truncated"), (5, "bad checksum"), (6, "not a png"), (7, "ok")]
+    assert all((r.picture_hash is None) == (r.status != "ok") for r in found)
+    assert media.hash_images(df.limit(0), "key", "image").collect() == []
+    vectors = spark.createDataFrame([(1, [1.0, 2.0]), (2, []), (3, None), (4, [float("nan")]), (5, [1.0, None]), (6, [3.0])], "vec_id long, embedding array<float>")
+    images = {r.vec_id: r.image for r in media.render_vectors(vectors, "vec_id", "embedding").collect()}
+    assert {k for k, x in images.items() if x is None} == {2, 3, 4, 5} and media.decode(images[1])[0].shape == (2, 2, 4)
+
+
+def test_query_equals_one_by_one(spark):
+    from oracle import SF_DIR
+
+    vectors = {r.vec_id: r.embedding for r in spark.read.parquet(f"{SF_DIR}/embeddings.parquet").collect()}
+    found = media.op8_media(spark, SF_DIR).collect()
+    assert {r.vec_id for r in found} == set(vectors) and all(r.status == "ok" for r in found)
+    for r in random.Random(1).sample(found, 20):
+        x = np.array(vectors[r.vec_id], float)
+        side = int(np.ceil(np.sqrt(len(x))))
+        grey = np.concatenate([np.round((x - x.min()) / np.ptp(x) * 255), np.zeros(side * side - len(x))]).reshape(side, side) / 255
+        assert r.picture_hash == media.picture_hash(np.dstack([grey, grey, grey, np.ones_like(grey)]))

@@ -1,0 +1,93 @@
+import random
+import re
+from collections import defaultdict
+
+import numpy as np
+import pytest
+from corpora import SENTENCE, documents, edges, empty, prose
+
+from siltstone.llm import near_dup
+from siltstone.llm._kernels import mix
+
+
+def shingles(text: str, k: int = near_dup.SHINGLE) -> set:
+    words = re.findall(r"[^\W_]+", text.lower())
+    return {tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
+
+
+def brute_groups(texts: dict[int, str], threshold: float) -> dict[int, int]:
+    """doc -> least doc of its group, for docs that aren't the least; all pairs by exact Jaccard."""
+    sets = {i: shingles(t) for i, t in texts.items()}
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    ids = sorted(sets)
+    for a in range(len(ids)):
+        for b in range(a + 1, len(ids)):
+            x, y = sets[ids[a]], sets[ids[b]]
+            if x and len(x & y) >= threshold * len(x | y):
+                ra, rb = sorted((find(ids[a]), find(ids[b])))
+                root[rb] = ra
+    return {i: find(i) for i in ids if find(i) != i}
+
+
+def corpus(seed: int) -> dict[int, str]:
+    rng, texts = random.Random(seed), {}
+    for base in range(25):
+        words = prose(rng, rng.randrange(30, 120)).split()
+        texts[len(texts)] = " ".join(words)
+        for _ in range(rng.randrange(0, 6)):
+            near = list(words)
+            for _ in range(rng.randrange(0, max(1, len(words) // 15))):
+                near[rng.randrange(len(near))] = f"x{rng.randrange(10_000)}"
+            texts[len(texts)] = " ".join(near)
+    return texts
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_groups_are_those_of_brute_force(spark, seed):
+    texts = corpus(seed)
+    want = brute_groups(texts, near_dup.THRESHOLD)
+    got = {r.doc_id: r.duplicate_of for r in near_dup.near_duplicates(documents(spark, list(texts.items()))).collect()}
+    assert set(got) <= set(want)  # verification is exact, so nothing is found that isn't there
+    assert len(got) >= 0.95 * len(want)
+    assert sum(got[i] == want[i] for i in got) >= 0.95 * len(got)
+
+
+def test_a_bucket_of_many_copies_and_a_stranger(spark):
+    words = SENTENCE.split()
+    rows = [(i, " ".join([*words, f"tail{i}"])) for i in range(300)] + [(1000, "nothing here is like the others at all, not one run of words")]
+    got = {r.doc_id: r.duplicate_of for r in near_dup.near_duplicates(documents(spark, rows)).collect()}
+    assert got == {i: 0 for i in range(1, 300)}
+
+
+def test_sketches_are_full_and_their_agreement_estimates_jaccard():
+    rng = np.random.default_rng(3)
+    for size in (1, 2, 5, 400):
+        own = mix(np.arange(size, dtype=np.uint64) + np.uint64(rng.integers(1 << 40)))
+        sketch = near_dup.fast_sketch(own, np.array([0, size]), 128)
+        assert (sketch != np.uint64(2**64 - 1)).all()
+    errors = []
+    for share in (0.2, 0.5, 0.8):
+        for _ in range(40):
+            x = mix(rng.integers(0, 1 << 62, 500).astype(np.uint64))
+            common = int(500 * share)
+            y = np.concatenate([x[:common], mix(rng.integers(0, 1 << 62, 500 - common).astype(np.uint64))])
+            s = near_dup.fast_sketch(np.concatenate([x, y]), np.array([0, 500, 1000]), 128)
+            errors.append((s[0] == s[1]).mean() - common / (1000 - common))
+    assert abs(np.mean(errors)) < 0.015 and np.std(errors) < 0.06
+
+
+def test_one_stays_of_each_group_and_edges(spark):
+    d = edges(spark)
+    left = near_dup.drop_near_duplicates(d)
+    assert left.columns == d.columns
+    rows = left.collect()
+    assert sorted(r.doc_id for r in rows if r.doc_id is not None) == [1, 3, 4, 5, 6, 8, 8, 9, 10, 11, 12]
+    assert sum(r.doc_id is None for r in rows) == 2
+    assert near_dup.near_duplicates(empty(spark)).collect() == []
+    assert near_dup.drop_near_duplicates(empty(spark)).collect() == []

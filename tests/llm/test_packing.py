@@ -1,0 +1,76 @@
+import bisect
+import random
+from collections import defaultdict
+
+import pytest
+from corpora import documents, edges, empty
+from pyspark.sql import functions as F
+
+from siltstone.llm import packing
+
+
+def best_fit(sizes: list[int], capacity: int) -> int:
+    """Sequences of best-fit decreasing, one document after the other."""
+    gaps, n = [], 0
+    for s in sorted(sizes, reverse=True):
+        at = bisect.bisect_left(gaps, s)
+        if at == len(gaps):
+            n, gap = n + 1, capacity
+        else:
+            gap = gaps.pop(at)
+        bisect.insort(gaps, gap - s)
+    return n
+
+
+def checked(pieces, lengths: dict, capacity: int) -> int:
+    """Every token of every document once, nothing overlaps; the number of sequences."""
+    of, at = defaultdict(list), defaultdict(list)
+    for p in pieces:
+        of[p.doc_id].append((p.chunk, p.n_tokens))
+        at[p.sequence].append((p.offset, p.n_tokens))
+    assert {i: sum(n for _, n in x) for i, x in of.items()} == {i: n for i, n in lengths.items() if n}
+    assert all(sorted(c for c, _ in x) == list(range(len(x))) for x in of.values())
+    for spans in at.values():
+        end = 0
+        for offset, n in sorted(spans):
+            assert offset == end and n > 0
+            end += n
+        assert end <= capacity
+    assert sorted(at) == list(range(len(at)))
+    return len(at)
+
+
+@pytest.mark.parametrize("capacity,most,seed", [(2048, 700, 1), (100, 250, 2), (64, 8, 3)])
+def test_packs_about_as_tightly_as_one_by_one(spark, capacity, most, seed):
+    rng = random.Random(seed)
+    lengths = {i: int(rng.lognormvariate(0, 1) * most / 4) for i in range(3000)}
+    df = spark.createDataFrame(list(lengths.items()), "doc_id long, size long").withColumn("text", F.lit(None).cast("string"))
+    found = packing.pack(df, capacity, "size").collect()
+    sequences = checked(found, lengths, capacity)
+    one_by_one = sum(n // capacity for n in lengths.values()) + best_fit([n % capacity for n in lengths.values() if n % capacity], capacity)
+    assert sequences <= 1.08 * one_by_one + 2
+
+
+def test_sweeps_over_many_partitions_agree(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SWEEP_ROWS", 60)
+    rng = random.Random(9)
+    lengths = {i: rng.randrange(1, 600) for i in range(900)}
+    df = spark.createDataFrame(list(lengths.items()), "doc_id long, n long").withColumn("text", F.lit(None).cast("string"))
+    sequences = checked(packing.pack(df, 512, "n").collect(), lengths, 512)
+    assert sequences <= 1.1 * (sum(lengths.values()) / 512) + 2
+
+
+def test_brackets_take_the_nearest_open_slots():
+    plan, taken = packing._brackets({2: 3, 3: 5}, {0: 2, 1: 4})
+    assert taken == {0: 0, 1: 0, 2: 3, 3: 3}
+    assert plan == [(2, 0, 3, 1, 0), (3, 0, 1, 1, 3), (3, 1, 3, 0, 0)]
+
+
+def test_edges(spark):
+    d = edges(spark)
+    found = packing.pack(d).collect()
+    ids = {r.doc_id for r in found}
+    assert ids == {1, 2, None, 6, 7, 8, 9, 10, 11, 12}  # no tokens: 3, 4, 5 and the row of nulls
+    assert sum(r.n_tokens for r in found if r.doc_id == 6) == 180_000
+    assert sum(r.doc_id == 1 for r in found) == 2 and sum(r.doc_id == 8 for r in found) == 2
+    assert packing.pack(empty(spark)).collect() == []
