@@ -18,6 +18,10 @@ from siltstone.functions import text as X
 from siltstone.sources.scratch import Scratch
 
 
+#: Pruned features up to this many are broadcast, else joined by shuffle.
+BROADCAST_FEATURES = 500_000
+
+
 @dataclass
 class Index:
     """docs(doc_ord, id, fields, tags, signal_compact, signal_ascii, gate_compact, gate_ascii), postings(ftype, term, doc_ord, score),
@@ -198,10 +202,11 @@ def build_index(documents: DataFrame, config: IndexConfig, scratch: Scratch | No
     raw = raw.select("doc_ord", F.col("ftype").cast("tinyint").alias("ftype"), "term", "score")
     counted = scratch.write(raw.groupBy("ftype", "term").agg(F.count("*").cast("int").alias("df"), F.max("score").alias("top_score")), "counted")
     noise = is_noise(n_docs, config.noise_df_cutoff)
-    # Features of more than a fixed share of all documents: their number is bounded by the features of a document, not by the corpus.
+    # Features of more than a fixed share of all documents are few, however many documents there are; their number is checked all the same.
     pruned = counted.where(noise).select("ftype", "term")
+    pruned = F.broadcast(pruned) if pruned.count() <= BROADCAST_FEATURES else pruned
     kept = counted.where(~noise)
-    scores = raw.join(F.broadcast(pruned), ["ftype", "term"], "left_anti").select("ftype", "term", "doc_ord", F.floor("score").cast("int").alias("score"))
+    scores = raw.join(pruned, ["ftype", "term"], "left_anti").select("ftype", "term", "doc_ord", F.floor("score").cast("int").alias("score"))
     # Ranges over all three columns: a term of very many documents is split over several files, each sorted by term.
     order = ["ftype", "term", "doc_ord"]
     postings = scratch.write(scores.repartitionByRange(scratch.partitions, *order).sortWithinPartitions(*order), "postings", partition_by=["ftype"])

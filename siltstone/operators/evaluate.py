@@ -14,6 +14,8 @@ from siltstone.config import SearchOptions
 from siltstone.operators.search import SearchEngine
 
 STOP_WORDS = frozenset("a an and are as at be but by can could did do does for from had has have he i if in is it its not of on or our should so than that the their them then there these they this those to us was we were will with would you your".split())
+#: Documents that a query mix is drawn from: the bound of that sample.
+SAMPLED_ROWS = 10_000
 SHARES = {"single": 0.45, "pair": 0.15, "typo": 0.10, "han": 0.10, "long": 0.05, "symbol": 0.05, "prefix": 0.05, "rare": 0.05}
 
 
@@ -38,18 +40,20 @@ def recall(hits: DataFrame, truth: DataFrame, limit: int) -> DataFrame:
     return wanted.join(good, "query_id", "left").select("query_id", (F.coalesce("got", F.lit(0)) / F.col("m")).alias("recall"))
 
 
-def ordinal_percentile(values: Column, p: float) -> Column:
-    """The value at floor(p% of the count) of a sorted array, within it; 0 of an empty one."""
-    n = F.size(values)
-    at = F.greatest(F.lit(0), F.least(n - 1, F.floor(F.lit(p / 100) * n).cast("int")))
-    return F.coalesce(F.get(F.sort_array(values), at), F.lit(0.0))
-
-
 def summary(df: DataFrame, key: str, value: str) -> DataFrame:
-    """(key, mean, median, stddev, p50, p95, p99) with the sample deviation, 0 of a single value."""
-    v = F.col(value).cast("double")
-    out = df.groupBy(key).agg(F.avg(v).alias("mean"), F.median(v).alias("median"), F.coalesce(F.stddev_samp(v), F.lit(0.0)).alias("stddev"), F.collect_list(v).alias("_v"))
-    return out.select(key, "mean", "median", "stddev", *(ordinal_percentile(F.col("_v"), p).alias(f"p{p}") for p in (50, 95, 99)))
+    """(key, mean, median, stddev, p50, p95, p99) with the sample deviation, 0 of a single value; null values are left out.
+
+    A percentile is the value at place floor(p% of the count) in order, the last one at most. Places come from a window, which
+    spills, so no group is ever held as one array.
+    """
+    v = df.where(F.col(value).isNotNull()).select(F.col(key).alias("_k"), F.col(value).cast("double").alias("_v"))
+    own = Window.partitionBy("_k")
+    placed = v.withColumn("_at", F.row_number().over(own.orderBy("_v")) - 1).withColumn("_n", F.count("*").over(own))
+    at = lambda p: F.least(F.col("_n") - 1, F.floor(F.lit(p / 100) * F.col("_n")))
+    middle = (F.col("_at") == F.floor((F.col("_n") - 1) / 2)) | (F.col("_at") == F.floor(F.col("_n") / 2))
+    chosen = [F.max(F.when(F.col("_at") == at(p), F.col("_v"))).alias(f"p{p}") for p in (50, 95, 99)]
+    out = placed.groupBy("_k").agg(F.avg("_v").alias("mean"), F.avg(F.when(middle, F.col("_v"))).alias("median"), F.coalesce(F.stddev_samp("_v"), F.lit(0.0)).alias("stddev"), *chosen)
+    return out.withColumnRenamed("_k", key)
 
 
 def jaccard(left: Column, right: Column) -> Column:
@@ -111,11 +115,26 @@ def inject_typo(word: str, rng: Mulberry32) -> str:
     return word if at == len(word) - 1 else word[:at] + word[at + 1] + word[at] + word[at + 2 :]
 
 
-def generate_queries(documents: list[dict], count: int, seed: int = 0xDEADBEEF) -> list[dict]:
+def query_mix(documents: DataFrame, count: int, seed: int = 0xDEADBEEF, rows: int = SAMPLED_ROWS, order_by: str | None = None) -> list[dict]:
+    """generate_queries() on a sample of at most rows of documents(title, body), those of the least hash, with the title frequencies of all documents.
+
+    order_by: the column that orders the sample, and that is hashed with the seed.
+    """
+    key = F.col(order_by) if order_by else F.xxhash64("title", "body")
+    sample = [r.asDict() for r in documents.select("title", "body", key.alias("_key")).orderBy(F.xxhash64(F.lit(seed), "_key"), "_key").limit(rows).collect()]
+    wanted = sorted({w for d in sample for w in ascii_words(d["title"] or "")})
+    words = F.filter(F.split(F.regexp_replace(F.lower("title"), r"[^a-z0-9\s]", " "), r"\s+"), lambda w: F.length(w) >= 3)
+    found = documents.select(F.explode(F.array_distinct(words)).alias("word")).groupBy("word").count()
+    side = documents.sparkSession.createDataFrame([(w,) for w in wanted], "word string")
+    return generate_queries(sample, count, seed, {r["word"]: r["count"] for r in found.join(F.broadcast(side), "word").collect()})
+
+
+def generate_queries(documents: list[dict], count: int, seed: int = 0xDEADBEEF, frequency: dict[str, int] | None = None) -> list[dict]:
     """A mix of queries from a sample of documents with title and body, each with the needles that its truth must hold.
 
     SHARES of count: single words, word pairs, typos (with the word they were made of as truth), Han pairs, longer runs, code symbols,
-    prefixes and rare words. A kind that the documents can't give in four times its number of attempts comes out short.
+    prefixes and rare words. A kind that the documents can't give in four times its number of attempts comes out short. frequency: in
+    how many titles a word is; without it, that of the given documents.
     """
     rng, out = Mulberry32(seed), []
 
@@ -128,8 +147,8 @@ def generate_queries(documents: list[dict], count: int, seed: int = 0xDEADBEEF)
         at = int(rng() * (len(words) - n + 1))
         return " ".join(words[at : at + n])
 
-    seen: dict[str, int] = {}
-    for d in documents:
+    seen = dict(frequency or {})
+    for d in documents if frequency is None else ():
         for w in set(ascii_words(head(d))):
             seen[w] = seen.get(w, 0) + 1
 

@@ -210,7 +210,10 @@ class SearchEngine:
         p = _side(p, rows)
         terms = index.features.where(F.col("ftype") == EXACT).select("term", "df")
         prefix, term = F.col("prefix"), F.col("term")
-        whole = terms.join(p, term.startswith(prefix))
+        # An equi-join on the beginnings of the terms that are as long as some prefix, not a test of every pair.
+        sizes = F.broadcast(p.select(F.length("prefix").alias("size")).distinct())
+        starts = terms.join(sizes, F.length("term") >= F.col("size")).select("term", "df", F.substring("term", F.lit(1), F.col("size")).alias("prefix"))
+        whole = starts.join(p, "prefix")
         order = Window.partitionBy("query_id").orderBy(F.desc(term == prefix), F.desc("df"), F.length(term), term)
         found = whole.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= options.limit)
         found = found.select("query_id", "rank", "term", F.col("df").alias("doc_frequency"), F.lit("prefix").alias("kind"), F.lit(None).cast("int").alias("distance"))

@@ -203,9 +203,9 @@ def _jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _generated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The query mix from all documents' titles; the corpus goes to the driver, as the generator samples it there."""
-    rows = [r.asDict() for r in corpora.documents(spark, sf_dir).select("doc_id", "title").orderBy("doc_id").collect()]
-    return spark.createDataFrame(evaluate.generate_queries(rows, 300), "query_id long, kind string, text string, needles array<string>")
+    """The query mix of a sample of the documents and all titles' word frequencies."""
+    mix = evaluate.query_mix(corpora.documents(spark, sf_dir), 300, order_by="doc_id")
+    return spark.createDataFrame(mix, "query_id long, kind string, text string, needles array<string>")
 
 
 def _pages_index(spark: SparkSession, sf_dir: str) -> DataFrame:
