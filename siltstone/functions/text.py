@@ -93,7 +93,8 @@ def fold(text: Column | str) -> Column:
 def normalize_text(text: Column | str) -> Column:
     """Decomposed, unmarked, lower-cased; every run of what is no letter or digit is one space; trimmed. Null is empty.
 
-    Separators, punctuation, hyphens and white space all end as one space, so one replacement does for all of them.
+    Separators, punctuation, hyphens and white space all end as one space, so one replacement does for all of them. Letters and
+    digits are those of the JVM's Unicode version; a letter that is newer than it separates words.
     """
     return F.trim(F.regexp_replace(F.lower(fold(text)), r"[^\p{L}\p{N}]+", " "))
 

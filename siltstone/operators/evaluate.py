@@ -137,6 +137,8 @@ def generate_queries(documents: list[dict], count: int, seed: int = 0xDEADBEEF,
     how many titles a word is; without it, that of the given documents.
     """
     rng, out = Mulberry32(seed), []
+    if not documents:
+        return out
 
     def head(d: dict) -> str:
         return d.get("title") or d.get("body") or ""

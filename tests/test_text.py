@@ -1,0 +1,87 @@
+"""Column functions against the plain model and fixed examples."""
+
+import random
+import unicodedata
+
+import model as M
+import pytest
+from pyspark.sql import functions as F
+
+from siltstone.config import HighlightOptions
+from siltstone.functions import highlight as H
+from siltstone.functions import text as X
+
+TEXTS = ["Café Naïve", "hello___world--foo", "Hello 世界", "", "hello 世界 foo123", "path/to/file.txt", "naïve résumé", "straße", "ﬁne ½ Ⅷ ㎏", "한국어 글자", "が ガ ﾞ", "𝐀𝐁 𠀀𠀀 x", "ạ́b", "ＡＢＣ①②", "Ǆ ŉ ſ", " 　tab\tnew\nline", "don't stop-me", "ΑΒΓ αβγ Ж"]
+
+
+def values(spark, rows, schema, *columns):
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], f"i long, {schema}")
+    return [tuple(r) for r in df.orderBy("i").select(*columns).collect()]
+
+
+def test_normal_form_and_tokens_equal_the_model(spark):
+    rng = random.Random(1)
+    letters = "aZ9 -_./é世한ßﬁ½が𝐀́"
+    texts = [*TEXTS, *("".join(rng.choice(letters) for _ in range(rng.randrange(0, 15))) for _ in range(200)), *(chr(c) + "x" for c in range(0xA0, 0x3100, 7) if unicodedata.ucd_3_2_0.category(chr(c)) != "Cn")]
+    got = values(spark, [(t,) for t in texts], "t string", X.normalize_text("t"), X.tokenize("t"), X.compact_join("t"), X.ascii_join("t"))
+    for t, row in zip(texts, got):
+        assert row == (M.normalize(t), M.tokens(t), M.compact(t), M.ascii_join(t)), t
+    assert values(spark, [(None,)], "t string", X.normalize_text("t"), X.tokenize("t")) == [("", [])]
+
+
+def test_examples(spark):
+    one = spark.range(1).select(
+        F.array_join(X.grams(F.lit("abcd"), 2, 3), ",").alias("grams"),
+        F.array_join(X.deletions(F.lit("cat")), ",").alias("one"),
+        X.deletions(F.lit("dog"), True).alias("two"),
+        X.is_ascii_token(F.lit("foo123")).alias("a"),
+        X.is_ascii_token(F.lit("世界")).alias("b"),
+        X.is_ascii_token(F.lit("")).alias("c"),
+        X.collapse_whitespace(F.lit("  A \n b ")).alias("d"),
+        F.array_join(F.transform(F.array(*map(F.lit, (0, 127, 128, 2**32 - 1))), X.varint_size), ",").alias("v"),
+        X.format_bytes(F.lit(2048)).alias("kb"),
+        X.format_ms(F.lit(12.3456)).alias("ms"),
+    ).first()
+    assert (one.grams, one.one, one.a, one.b, one.c, one.d, one.v, one.kb, one.ms) == ("ab,bc,cd,abc,bcd", "at,ct,ca", True, False, False, "A b", "1,1,2,5", "2.0 KB", "12.35 ms")
+    assert {"og", "g", "o"} <= set(one.two) and "dog" not in one.two
+
+
+def test_distances_deletions_and_overlaps_equal_the_model(spark):
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abc") for _ in range(rng.randrange(1, 8)))
+    pairs = [("kitten", "sitten"), ("ab", "ba"), ("hello", "hlelo"), ("ca", "abc"), ("same", "same"), *((word(), word()) for _ in range(300))]
+    got = values(spark, pairs, "a string, b string", X.osa_distance("a", "b", F.lit(9)), X.osa_distance("a", "b", F.lit(1)), X.deletions("a"), X.deletions("a", True), X.bigram_overlap("a", "b"))
+    for (a, b), (far, near, one, two, share) in zip(pairs, got):
+        n = M.osa(a, b)
+        assert (far, near) == (n, min(n, 2)), (a, b)
+        assert one == M.deletions(a, 1) and two == M.deletions(a, 2), a
+        assert share == pytest.approx(M.overlap(a, b))
+
+
+@pytest.mark.parametrize("text,ranges,want", [("hello world", [(0, 4)], "<mark>hello</mark> world"), ("the quick brown fox", [(16, 18), (4, 8)], "the <mark>quick</mark> brown <mark>fox</mark>"), ("abcdef", [(0, 2), (1, 4)], "<mark>abcde</mark>f"), ("<script>", [(1, 6)], "&lt;<mark>script</mark>&gt;"), ("abc", [], "abc"), ("abc", None, "abc"), ("abc", [(2, 9), (5, 7)], "ab<mark>c</mark>"), ("", [(0, 1)], ""), ("𠀀x", [(0, 1)], "<mark>𠀀</mark>x")])
+def test_highlights(spark, text, ranges, want):
+    got = values(spark, [(text, ranges)], f"t string, r {H.RANGES}", H.render_highlights("t", "r"), H.highlight_segments("t", "r"))
+    assert got[0][0] == want and "".join(p.text for p in got[0][1]) == text
+
+
+def test_highlight_options_and_hits(spark):
+    schema = f"f map<string,string>, m array<struct<field:string,ranges:{H.RANGES}>>"
+    rows = [({"title": "hello world", "body": "x"}, [("title", [(0, 4)])]), ({"title": "a < b"}, [])]
+    got = values(spark, rows, schema, H.render_hit("f", "m", "title", HighlightOptions(tag="em", class_name="hl")), H.render_hit("f", "m", "title", HighlightOptions(open="[", close="]")))
+    assert got == [('<em class="hl">hello</em> world', "[hello] world"), ("a &lt; b", "a &lt; b")]
+
+
+def test_match_ranges_and_needles(spark):
+    assert H.match_ranges("Weather and weather", ["weather"]) == [(0, 6), (12, 18)]
+    assert H.match_ranges("aaaa", ["aa"]) == [(0, 3)] and H.match_ranges(None, ["a"]) == [] and H.match_ranges("abc", []) == []
+    assert H.match_ranges("ab" * 40, ["b"]) == [(2 * i + 1, 2 * i + 1) for i in range(12)]
+    assert H.match_ranges("𠀀 x", ["x"]) == [(3, 3)]
+    got = values(spark, [("ssl check 微博",), ("x",), ("",)], "q string", H.highlight_needles("q"))
+    assert got[1:] == [([],), ([],)]
+    assert got[0][0][:4] == ["sslcheck微博", "sslcheck", "check", "ssl"] and set(got[0][0][4:]) == {"k微", "微博"}
+
+
+def test_values_as_text(spark):
+    df = spark.createDataFrame([(1.0, 2.5, True, ["a", None, "b"], {"k": "v"}, ("x", 3), None)], "w double, f double, b boolean, l array<string>, m map<string,string>, s struct<p:string,q:int>, n string")
+    row = df.select(*(X.value_text(c.name, c.dataType) for c in df.schema.fields)).first()
+    assert [" ".join(v.split()) for v in row] == ["1", "2.5", "true", "a b", "v", "x 3", ""]
