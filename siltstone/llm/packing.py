@@ -1,17 +1,19 @@
 """Best-fit packing of documents into sequences of CAPACITY tokens, bulk-synchronous.
 
-Size classes (octaves, and one of all small sizes) are packed from the largest down, each by a few supersteps. A superstep range-sorts the class's
-documents and the gaps together by falling size and sweeps every partition: a gap goes on a stack, a document
-takes the top, which is the smallest gap left that holds it (its successor). A gap of many times the class's size
-offers several slots at once. Documents that find their partition's stack empty, and gaps left on it, keep their
-ranks; from the partitions' counts alone it then follows which rank of which partition takes which, as
-brackets match, and one join carries it out. Gaps are updated and the step is repeated while it places
-documents; of those that are left, the largest open new sequences, as many as would hold them all.
+Size classes (octaves) are packed from the largest down, each by supersteps. A superstep range-sorts the class's
+documents and the gaps together by falling size and sweeps every partition: a document takes the smallest gap of the
+partition that holds it (its successor), and what is left of the gap can be taken again. Documents that find no gap in
+their partition, and gaps left in it, keep their ranks, a gap of many times the class's size with several slots at once;
+from the partitions' counts alone it then follows which rank of which partition takes which, as
+brackets match, and one join carries it out. Gaps are updated and the step is repeated until it places nothing.
+Only then new sequences are opened, no more than what is left needs at least, and the steps go on with these.
+What fits one partition is packed one by one, and opens sequences, in one sweep.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from bisect import bisect_left, insort
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -22,9 +24,7 @@ from pyspark.sql.window import Window
 from siltstone.llm._scratch import Scratch
 from siltstone.llm.mixing import token_estimate
 
-CAPACITY, STEPS = 2048, 2
-#: Sizes up to capacity / 2 ** SMALL are one class.
-SMALL = 4
+CAPACITY = 2048
 #: Rows of documents and gaps that a partition of a sweep gets.
 SWEEP_ROWS = 100_000
 
@@ -33,37 +33,53 @@ SWEPT_DDL = "kind int, pid int, rank long, id long, size int, bin long, slots in
 MATCHED, OPEN_DOC, OPEN_GAP = 0, 1, 2
 
 
-def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (is_doc, id, size, slots) by falling size, gaps first -> matches, and what is open at the end with its rank."""
-    pid, stack, alone = TaskContext.get().partitionId(), [], 0
+def _sweep(hi: int, opens: tuple[int, int] | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (is_doc, id, size) by falling size, gaps first -> matches, and what is open at the end with its rank.
+
+    hi: the largest size of the class. opens: capacity and number of the next sequence, where documents without a gap open one.
+    """
 
     def rows(out: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 7, SWEPT.types)], schema=SWEPT)
 
-    for batch in batches:
-        out = []
-        for is_doc, id_, size, slots in zip(*(batch.column(i).to_pylist() for i in range(4))):
-            if not is_doc:
-                stack.append([id_, slots])
-            elif stack:
-                top = stack[-1]
-                out.append((MATCHED, pid, 0, id_, size, top[0], 0))
-                top[1] -= 1
-                if not top[1]:
-                    stack.pop()
-            else:
-                out.append((OPEN_DOC, pid, alone, id_, size, None, 0))
-                alone += 1
-        yield rows(out)
-    out, rank = [], 0
-    while stack:
-        id_, slots = stack.pop()
-        out.append((OPEN_GAP, pid, rank, None, 0, id_, slots))
-        rank += slots
-        if len(out) == 10_000:
-            yield rows(out)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pid, alone, opened = TaskContext.get().partitionId(), 0, 0
+        # (-gap, sequence, whether a document of this sweep is in it), so the smallest gaps are at the end.
+        gaps: list[tuple[int, int, bool]] = []
+        for batch in batches:
             out = []
-    yield rows(out)
+            for is_doc, id_, size in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if not is_doc:
+                    insort(gaps, (-size, id_, False))
+                    continue
+                at = bisect_left(gaps, (1 - size,)) - 1
+                if at >= 0:
+                    gap, sequence, _ = gaps.pop(at)
+                elif opens:
+                    gap, sequence = -opens[0], opens[1] + opened
+                    opened += 1
+                else:
+                    out.append((OPEN_DOC, pid, alone, id_, size, None, 0))
+                    alone += 1
+                    continue
+                out.append((MATCHED, pid, 0, id_, size, sequence, 0))
+                if gap + size:
+                    insort(gaps, (gap + size, sequence, True))
+            yield rows(out)
+        out, rank = [], 0
+        while gaps and not opens:
+            gap, sequence, used = gaps.pop()
+            # An unused gap holds one document of any later partition, whatever its size.
+            slots = max(-gap // hi, int(not used))
+            if slots:
+                out.append((OPEN_GAP, pid, rank, None, 0, sequence, slots))
+                rank += slots
+            if len(out) == 10_000:
+                yield rows(out)
+                out = []
+        yield rows(out)
+
+    return run
 
 
 def _brackets(docs: dict[int, int], slots: dict[int, int]) -> tuple[list[tuple[int, int, int, int, int]], dict[int, int]]:
@@ -133,53 +149,66 @@ def pack(documents: DataFrame, capacity: int = CAPACITY, tokens: str | None = No
     out = [full.select("doc_id", "chunk", F.lit(capacity).alias("n_tokens"), F.col("n").alias("sequence"), F.lit(0).alias("offset"))]
     rests = scratch.write(lengths.where(F.col("n") % capacity > 0).select("id", "doc_id", F.floor(F.col("n") / capacity).cast("int").alias("chunk"), (F.col("n") % capacity).cast("int").alias("size")), "rests")
 
-    octave = F.least(F.floor(F.log2(F.lit(float(capacity)) / F.col("size"))), F.lit(SMALL)).cast("int")
-    classes = {r.c: (r.k, r.t) for r in rests.groupBy(octave.alias("c")).agg(F.count("*").alias("k"), F.sum("size").alias("t")).collect()}
+    # floor(log2(capacity / size)), in whole numbers.
+    octave = F.length(F.bin(F.floor(F.lit(capacity) / F.col("size")).cast("long"))) - 1
+    classes = {r.c: r.k for r in rests.groupBy(octave.alias("c")).agg(F.count("*").alias("k")).collect()}
     placed: list[DataFrame] = []
     gaps, n_gaps, step = spark.createDataFrame([], "bin long, gap int"), 0, 0
+
+    def fresh(n: int) -> DataFrame:
+        return spark.range(sequences, sequences + n).select(F.col("id").alias("bin"), F.lit(capacity).cast("int").alias("gap"))
+
     for c in sorted(classes):
-        left, (n_left, tokens_left) = rests.where(octave == c).select("id", "size"), classes[c]
         # Sizes of class c are above low and at most hi.
-        hi, low = max(1, capacity >> c), capacity >> (c + 1) if c < SMALL else 0
-        slots = capacity // hi
+        hi, low = max(1, capacity >> c), capacity >> (c + 1)
+        left, n_left = rests.where(octave == c).select("id", "size"), classes[c]
+        n_smaller = sum(k for x, k in classes.items() if x > c)
+        last = n_left + n_smaller + n_gaps <= SWEEP_ROWS
+        if last:
+            left, n_left, low = rests.where(octave >= c).select("id", "size"), n_left + n_smaller, 0
+        # Whether no gap holds any of the documents left.
+        tried = not n_gaps
         while n_left:
-            for _ in range(STEPS):
-                if not n_left or not n_gaps:
-                    break
-                step += 1
-                offered = gaps.where(F.col("gap") > low).select(F.lit(False).alias("is_doc"), F.col("bin").alias("id"), F.col("gap").alias("size"), F.greatest(F.lit(1), F.floor(F.col("gap") / hi)).cast("int").alias("slots"))
-                both = offered.union(left.select(F.lit(True), "id", "size", F.lit(0)))
-                width = max(1, -(-(n_left + n_gaps) // SWEEP_ROWS))
-                order = [F.desc("size"), F.asc("is_doc"), F.asc("id")]
-                swept = scratch.write(both.repartitionByRange(width, *order).sortWithinPartitions(*order).mapInArrow(_sweep, SWEPT_DDL), f"swept-{step}")
-                counts = swept.groupBy("kind", "pid").agg(F.count("*").alias("k"), F.sum("slots").alias("s"), F.sum("size").alias("t")).collect()
-                plan, taken = _brackets({r.pid: r.k for r in counts if r.kind == OPEN_DOC}, {r.pid: r.s for r in counts if r.kind == OPEN_GAP})
-                matched = sum(r.k for r in counts if r.kind == MATCHED) + sum(taken.values())
-                if not matched:
-                    break
-                here = _taken(swept, plan)
-                placed.append(here)
-                filled = here.groupBy("bin").agg(F.sum("size").alias("used"))
-                gaps = scratch.write(gaps.join(filled, "bin", "left").select("bin", (F.col("gap") - F.coalesce("used", F.lit(0))).cast("int").alias("gap")).where("gap > 0"), f"gaps-{step}")
-                open_docs = swept.where(F.col("kind") == OPEN_DOC)
-                done = F.broadcast(spark.createDataFrame(list(taken.items()), "p int, t long")) if taken else None
-                left = (open_docs.join(done, F.col("pid") == F.col("p")).where("rank >= t") if taken else open_docs).select("id", "size")
-                n_left -= matched
-                if n_left and c == SMALL:
-                    tokens_left = left.agg(F.sum("size")).first()[0]
-            if n_left:
-                step += 1
-                order = [F.desc("size"), F.asc("id")]
-                ranked, _ = _numbered(left.repartitionByRange(max(1, -(-n_left // SWEEP_ROWS)), *order).sortWithinPartitions(*order), scratch, f"opening-{step}")
-                # Sizes of an octave fill more than half of their slots; of the small ones only the largest open sequences, and the others are tried on these.
-                opening = -(-n_left // slots) if c < SMALL else min(-(-n_left // slots), -(-tokens_left // capacity))
-                first = ranked.where(F.col("n") < opening * slots).select("id", "size", (F.floor(F.col("n") / slots) + sequences).alias("bin"))
-                placed.append(first)
-                sequences += opening
-                opened = first.groupBy("bin").agg((F.lit(capacity) - F.sum("size")).cast("int").alias("gap")).where("gap > 0")
-                gaps = scratch.write(gaps.union(opened), f"gaps-{step}")
-                left, n_left = ranked.where(F.col("n") >= opening * slots).select("id", "size"), max(0, n_left - opening * slots)
+            step += 1
+            alone = n_left + (0 if tried else n_gaps) <= SWEEP_ROWS
+            offered = gaps.where(F.lit(not tried) & (F.col("gap") > low))
+            if tried and not alone:
+                # At least as many as hold all the tokens, or all the documents by number: each of them is used.
+                opening = max(-(-left.agg(F.sum("size")).first()[0] // capacity), -(-n_left // (capacity // (low + 1))))
+                offered = fresh(opening)
+                gaps, n_gaps, sequences = gaps.union(offered), n_gaps + opening, sequences + opening
+                n_offered = opening
+            else:
+                n_offered = 0 if tried else n_gaps
+            both = offered.select(F.lit(False).alias("is_doc"), F.col("bin").alias("id"), F.col("gap").alias("size")).union(left.select(F.lit(True), "id", "size"))
+            width = 1 if alone else max(1, -(-(n_left + n_offered) // SWEEP_ROWS))
+            order = [F.desc("size"), F.asc("is_doc"), F.asc("id")]
+            sweep = _sweep(hi, (capacity, sequences) if alone else None)
+            swept = scratch.write(both.repartitionByRange(width, *order).sortWithinPartitions(*order).mapInArrow(sweep, SWEPT_DDL), f"swept-{step}")
+            counts = swept.groupBy("kind", "pid").agg(F.count("*").alias("k"), F.sum("slots").alias("s"), F.max("bin").alias("b")).collect()
+            plan, taken = _brackets({r.pid: r.k for r in counts if r.kind == OPEN_DOC}, {r.pid: r.s for r in counts if r.kind == OPEN_GAP})
+            matched = sum(r.k for r in counts if r.kind == MATCHED) + sum(taken.values())
+            tried = not matched
+            if tried:
+                continue
+            if alone:
+                opened = max(0, max(r.b for r in counts if r.kind == MATCHED) + 1 - sequences)
+                gaps, sequences = gaps.union(fresh(opened)), sequences + opened
+            here = _taken(swept, plan)
+            if plan:
+                here = scratch.write(here, f"taken-{step}")
+            placed.append(here)
+            n_left -= matched
+            if last:
+                break
+            filled = here.groupBy("bin").agg(F.sum("size").alias("used"))
+            gaps = scratch.write(gaps.join(filled, "bin", "left").select("bin", (F.col("gap") - F.coalesce("used", F.lit(0))).cast("int").alias("gap")).where("gap > 0"), f"gaps-{step}")
             n_gaps = gaps.count()
+            open_docs = swept.where(F.col("kind") == OPEN_DOC)
+            done = F.broadcast(spark.createDataFrame(list(taken.items()), "p int, t long")) if taken else None
+            left = (open_docs.join(done, F.col("pid") == F.col("p")).where("rank >= t") if taken else open_docs).select("id", "size")
+        if last:
+            break
 
     if placed:
         every = placed[0]

@@ -60,6 +60,17 @@ def test_sweeps_over_many_partitions_agree(spark, monkeypatch):
     assert sequences <= 1.1 * (sum(lengths.values()) / 512) + 2
 
 
+@pytest.mark.parametrize("least,most,n,rows", [(1, 10, 2_000, None), (1, 10, 20_000, None), (5, 60, 6_000, None), (1, 10, 20_000, 3_000), (5, 60, 6_000, 1_500), (5, 5, 3_000, 1_000)])
+def test_many_short_documents_fill_their_sequences(spark, monkeypatch, least, most, n, rows):
+    if rows:
+        monkeypatch.setattr(packing, "SWEEP_ROWS", rows)
+    rng = random.Random(4)
+    lengths = {i: rng.randint(least, most) for i in range(n)}
+    df = spark.createDataFrame(list(lengths.items()), "doc_id long, size long").withColumn("text", F.lit(None).cast("string"))
+    sequences = checked(packing.pack(df, tokens="size").collect(), lengths, packing.CAPACITY)
+    assert sequences <= 1.02 * best_fit(list(lengths.values()), packing.CAPACITY) + 1
+
+
 def test_brackets_take_the_nearest_open_slots():
     plan, taken = packing._brackets({2: 3, 3: 5}, {0: 2, 1: 4})
     assert taken == {0: 0, 1: 0, 2: 3, 3: 3}
