@@ -22,7 +22,7 @@ TEMPERATURE, SEED, BUCKET_ROWS = 0.7, "mix-1", 20_000
 
 
 def token_estimate(text: Column) -> Column:
-    """Runs of non-space characters."""
+    """Runs of non-space characters: not the tokens of op10's tokenizer, and 1 for a long text without spaces."""
     return F.coalesce(F.regexp_count(text, F.lit(r"\S+")), F.lit(0)).cast("long")
 
 
@@ -43,7 +43,7 @@ def copies(documents: DataFrame, weights: dict[str, float] | None = None, budget
     weights: source -> share of the budget (they are normalised; a source not named gets none); without
     them, shares follow the sources' tokens to the power of temperature. budget: tokens in all; without it, those of all documents.
     A document is taken whole once the tokens before it are below the rest of the budget, so the last one may
-    pass it. A null source is a source of its own. Rows with a null doc_id are left out; null or empty texts
+    pass it. Tokens are those of token_estimate(), runs of non-space characters. A null source is a source of its own. Rows with a null doc_id are left out; null or empty texts
     have no tokens and are taken as often as complete epochs are, or in the sample while budget is left.
     Rows that repeat a doc_id in a source count as one document: the one of most tokens, then greatest weight. Ties
     in the key go by doc_id. No rows, or no budget, give no rows.

@@ -137,7 +137,8 @@ def pack(documents: DataFrame, capacity: int = CAPACITY, tokens: str | None = No
 
     A document of more than capacity tokens is cut into full chunks, each a sequence of its own, and a rest; chunk counts the pieces
     from 0. Pieces of a sequence don't overlap and end at or below capacity; offset is where a piece begins. tokens:
-    a column of lengths; without it, lengths are those of token_estimate(). Documents of no tokens (null and empty texts)
+    a column of lengths; without it, lengths are those of token_estimate(). There a token is a run of non-space characters:
+    a text without spaces (Han, base64) counts as 1 and is never cut, and a tokenizer's own counts mostly pass capacity; give these as tokens to keep to it. Documents of no tokens (null and empty texts)
     are left out. Repeated rows, and rows with a null doc_id, are each packed. Ties in size go by order of reading.
     """
     spark = documents.sparkSession
