@@ -1,55 +1,44 @@
-"""Tables written to the folder that all executors share, to cut lineage and survive their loss."""
+"""What all corpus operators share: written tables, size-checked broadcasts, doc_ids, and column names of their own."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from siltstone.sources.scratch import Scratch, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; only where that is unset (tests), one of our own."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = tempfile.mkdtemp(prefix="siltstone-")
-        spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
+__all__ = ["BROADCAST_KEYS", "Scratch", "doc_id", "partitions", "shared_dir", "sized", "unused"]
 
-
-class Scratch:
-    """Parquet tables under one fresh folder of the shared directory.
-
-    A written table is read back with its own lineage cut, so a lost executor costs one re-read.
-    release() deletes a table that no later plan reads.
-    """
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.root = f"{shared_dir(spark)}/siltstone-{name}-{uuid.uuid4().hex}"
-
-    def write(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.root}/{name}"
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def release(self, *names: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-            path.getFileSystem(conf).delete(path, True)
+#: Key rows up to which a key table is broadcast (16 bytes a row in the hash table); above it, a shuffle join.
+BROADCAST_KEYS = 1_000_000
 
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-#: Key rows up to which a key table is broadcast (16 bytes a row in the hash table); above it, a shuffle join.
-BROADCAST_KEYS = 1_000_000
-
-
 def sized(keys: DataFrame, rows: int) -> DataFrame:
     """keys with a broadcast hint if they are few by count; otherwise left to a shuffled join."""
     return F.broadcast(keys) if rows <= BROADCAST_KEYS else keys
+
+
+def doc_id(documents: DataFrame, name: str = "doc_id") -> Column:
+    """The id column as a long; a TypeError unless it is of a whole-number type."""
+    kind = documents.schema[name].dataType
+    if not isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        raise TypeError(f"{name} must be of a whole-number type, not {kind.simpleString()}")
+    return F.col(f"`{name}`").cast("long")
+
+
+def unused(columns: Iterable[str], *wanted: str) -> list[str]:
+    """The wanted names, each with underscores before it until no column is called so (letter case aside)."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out

@@ -2,7 +2,9 @@
 
 The cache is a table (tokenizer, digest, n_tokens). A text's digest is that of its NFC form; the
 tokenizer's digest covers its vocabulary file, pattern, library version and the normalisation, so a change of any of them
-never meets old counts. Only distinct digests that the cache lacks are encoded, and then appended to it.
+never meets old counts. Only distinct digests that the cache lacks are encoded, and then appended to it. For each of them the
+row of the least doc_id is encoded where it is read: between the passes over the texts only ids and digests are shuffled.
+The vocabulary is read once, by the driver, and broadcast.
 """
 
 from __future__ import annotations
@@ -11,71 +13,83 @@ import base64
 import hashlib
 import sys
 import types
-from collections.abc import Iterator
+import unicodedata
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm._scratch import Scratch, partitions
+from siltstone.llm._scratch import Scratch, doc_id, sized
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 NORMALISATION = "nfc-1"
 CACHE_SCHEMA = "tokenizer string, digest binary, n_tokens long"
+#: Stands for a null doc_id where rows are looked up by it.
+NO_ID = -(1 << 63)
 
 
-def tokenizer_digest(path: str = TOKENIZER) -> str:
-    import tiktoken
+def nfc(text: str) -> str:
+    return text if text.isascii() or unicodedata.is_normalized("NFC", text) else unicodedata.normalize("NFC", text)
 
-    said = hashlib.sha256(Path(path).read_bytes())
-    said.update("\0".join([PATTERN, tiktoken.__version__, NORMALISATION]).encode())
-    return said.hexdigest()
 
+def digest(text: str) -> bytes:
+    """128 bits of BLAKE2b of a text in NFC."""
+    return hashlib.blake2b(text.encode(), digest_size=16).digest()
 
-def _encoding(path: str):
-    """The tokenizer, loaded once in a worker process."""
-    import tiktoken
 
-    kept = sys.modules.setdefault("_siltstone_tokenizers", types.ModuleType("_siltstone_tokenizers")).__dict__
-    if path not in kept:
-        with open(path, "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        kept[path] = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return kept[path]
+@dataclass(frozen=True)
+class Tokenizer:
+    """A vocabulary file's bytes and the version that they and the code amount to; small (under a few MB), and so broadcast."""
 
+    version: str
+    vocabulary: bytes
 
-def _nfc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text) -> (doc_id, digest): 128 bits of BLAKE2b of the NFC form."""
-    import unicodedata
+    @classmethod
+    def read(cls, path: str = TOKENIZER) -> Tokenizer:
+        import tiktoken
 
-    for batch in batches:
-        digests = [None if x is None else hashlib.blake2b((x if x.isascii() or unicodedata.is_normalized("NFC", x) else unicodedata.normalize("NFC", x)).encode(), digest_size=16).digest() for x in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary())], names=["doc_id", "digest"])
+        data = Path(path).read_bytes()
+        said = hashlib.sha256(data)
+        said.update("\0".join([PATTERN, tiktoken.__version__, NORMALISATION]).encode())
+        return cls(said.hexdigest(), data)
+
+    def encoding(self):
+        """The encoder, made once in a worker process."""
+        import tiktoken
+
+        kept = sys.modules.setdefault("_siltstone_tokenizers", types.ModuleType("_siltstone_tokenizers")).__dict__
+        if self.version not in kept:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, self.vocabulary.splitlines())}
+            kept[self.version] = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        return kept[self.version]
 
+    def counts(self, texts: Iterable[str | None]) -> list[int]:
+        """Tokens of each text's NFC form; strings of special tokens are ordinary text; a null text has none."""
+        encode = self.encoding().encode_ordinary
+        return [len(encode(nfc(t))) if t else 0 for t in texts]
 
-def _digest_and_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text) -> (doc_id, digest)."""
     for batch in batches:
-        (digests,) = (b.column(1) for b in _nfc([pa.RecordBatch.from_arrays([batch.column(0), batch.column(0)], names=["a", "b"])]))
-        yield pa.RecordBatch.from_arrays([digests, batch.column(0)], names=["digest", "text"])
+        found = [None if x is None else digest(nfc(x)) for x in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["doc_id", "digest"])
 
 
-def _encode(path: str):
+def _encode(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(digest, text) sorted by digest -> (digest, n_tokens), each digest once."""
-        import unicodedata
-
-        last = None
+        """(key, text) -> (key, digest, n_tokens); of equal rows of a batch one is encoded."""
         for batch in batches:
-            digests, counts = [], []
-            column = batch.column(1)
-            for i, d in enumerate(batch.column(0).to_pylist()):
-                if d != last:
-                    last = d
-                    digests.append(d)
-                    counts.append(len(_encoding(path).encode_ordinary(unicodedata.normalize("NFC", column[i].as_py()))))
-            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(counts, pa.int64())], names=["digest", "n_tokens"])
+            once: dict[tuple[int, bytes], str] = {}
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                text = nfc(text)
+                once.setdefault((key, digest(text)), text)
+            keys, digests = zip(*once) if once else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(digests, pa.binary()), pa.array(shared.value.counts(once.values()), pa.int64())], names=["key", "digest", "n_tokens"])
 
     return run
 
@@ -83,29 +97,39 @@ def _encode(path: str):
 def count_tokens(documents: DataFrame, cache: str, tokenizer: str = TOKENIZER) -> DataFrame:
     """(doc_id, n_tokens) for each row of documents, through the cache: a folder of Parquet files that is made if missing.
 
-    A null text has a null count, an empty text 0 tokens. Special tokens' strings count as ordinary text.
-    Repeated rows and a null doc_id each have a row. Only doc_id and text are read. Appending is safe beside other
-    writers: a digest that two of them add has one and the same count, of which the join takes one.
+    A null text has a null count, an empty text 0 tokens; a very long text is encoded whole. Special tokens' strings count as
+    ordinary text. Repeated rows and a null doc_id each have a row; equal texts (in NFC) have one count, whichever doc_id they have,
+    and the least doc_id's row is the one that is encoded. An empty table gives no rows and appends nothing. Only doc_id (of a whole-number type, else a
+    TypeError) and text are read, so other columns may have any name. Appending is safe beside other writers: a digest that two
+    of them add has one and the same count, of which the join takes one.
     """
     spark = documents.sparkSession
-    version = tokenizer_digest(tokenizer)
+    said = Tokenizer.read(tokenizer)
+    shared = spark.sparkContext.broadcast(said)
     scratch = Scratch(spark, "tokens")
-    digested = scratch.write(documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(_nfc, "doc_id long, digest binary"), "digests")
+    own = doc_id(documents)
+    digested = scratch.write(documents.select(own.alias("doc_id"), "text").mapInArrow(_digests, "doc_id long, digest binary"), "digests")
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(cache)
     there = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
-    stored = (spark.read.schema(CACHE_SCHEMA).parquet(cache) if there else spark.createDataFrame([], CACHE_SCHEMA)).where(F.col("tokenizer") == version).select("digest", "n_tokens")
-
-    missing = digested.where("digest is not null").select("digest").distinct().join(stored, "digest", "left_anti")
-    missing = scratch.write(missing, "missing")
-    if not missing.isEmpty():
-        texts = documents.where("text is not null").select("text").mapInArrow(_digest_and_text, "digest binary, text string")
-        wanted = texts if not there else texts.join(missing, "digest", "left_semi")
-        once = wanted.repartition(partitions(spark), "digest").sortWithinPartitions("digest").mapInArrow(_encode(tokenizer), "digest binary, n_tokens long")
-        once.select(F.lit(version).alias("tokenizer"), "digest", "n_tokens").write.mode("append").option("compression", "zstd").parquet(cache)
-    counts = spark.read.schema(CACHE_SCHEMA).parquet(cache).where(F.col("tokenizer") == version) if there or not missing.isEmpty() else spark.createDataFrame([], CACHE_SCHEMA)
+    stored = (spark.read.schema(CACHE_SCHEMA).parquet(cache) if there else spark.createDataFrame([], CACHE_SCHEMA)).where(F.col("tokenizer") == said.version).select("digest", "n_tokens")
+
+    key = F.coalesce(own, F.lit(NO_ID))
+    least = digested.where("digest is not null").groupBy("digest").agg(F.coalesce(F.min("doc_id"), F.lit(NO_ID)).alias("key"))
+    missing = scratch.write(least.join(stored, "digest", "left_anti") if there else least, "missing")
+    if n := missing.count():
+        keys = missing.select("key").distinct()
+        rows = documents.where("text is not null").select(key.alias("key"), "text").join(sized(keys, n), "key", "left_semi")
+        counted = rows.mapInArrow(_encode(shared), "key long, digest binary, n_tokens long")
+        # A doc_id of several rows brings texts that were not missing, or are another row's to count.
+        once = counted.join(missing, ["digest", "key"], "left_semi").dropDuplicates(["digest"])
+        once.select(F.lit(said.version).alias("tokenizer"), "digest", "n_tokens").write.mode("append").option("compression", "zstd").parquet(cache)
+    counts = spark.read.schema(CACHE_SCHEMA).parquet(cache).where(F.col("tokenizer") == said.version) if there or n else spark.createDataFrame([], CACHE_SCHEMA)
     return digested.join(counts.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "digest", "left").select("doc_id", "n_tokens")
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """With a cache of this run in the shared folder, empty at first: every distinct text is a miss."""
-    return count_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"), f"{Scratch(spark, 'token-cache').root}/counts")
+    """The whole table through a cache in the shared folder to which an earlier call has added the English documents."""
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    cache = f"{Scratch(spark, 'token-cache').root}/counts"
+    count_tokens(documents.where("lang = 'en'"), cache)
+    return count_tokens(documents, cache)

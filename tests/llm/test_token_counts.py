@@ -45,6 +45,35 @@ def test_a_stored_count_is_used_and_another_tokenizer_never_meets_it(spark, tmp_
     assert T.count_tokens(d, planted).first().n_tokens == 777
 
 
+def test_query_meets_a_half_filled_cache(spark, monkeypatch):
+    from oracle import SF_DIR
+
+    met, plain = [], T.count_tokens
+
+    def counted(documents, cache, *rest):
+        fs = spark.sparkContext._jvm.java.io.File(cache.removeprefix("file:"))
+        before = spark.read.parquet(cache).count() if fs.exists() else 0
+        out = plain(documents, cache, *rest)
+        met.append((before, spark.read.parquet(cache).count()))
+        return out
+
+    monkeypatch.setattr(T, "count_tokens", counted)
+    rows = spark.read.parquet(f"{SF_DIR}/documents.parquet").collect()
+    assert {r.doc_id: r.n_tokens for r in T.op10_token_counts(spark, SF_DIR).collect()} == {r.doc_id: direct(r.text) for r in rows}
+    english = len({r.text for r in rows if r.lang == "en"})
+    assert met == [(0, english), (english, len({r.text for r in rows}))]
+
+
+def test_rows_of_one_doc_id_are_counted_each_by_its_text(spark, tmp_path):
+    rows = [(1, "one"), (1, "one two three"), (None, "only here and nowhere else"), (None, "one"), (2, "one two three"), (2, "one")]
+    cache = f"{tmp_path}/f"
+    found = T.count_tokens(documents(spark, rows), cache).collect()
+    assert sorted((r.doc_id or 0, r.n_tokens) for r in found) == sorted((i or 0, direct(t)) for i, t in rows)
+    assert spark.read.parquet(cache).count() == 3
+    with pytest.raises(TypeError, match="doc_id"):
+        T.count_tokens(documents(spark, rows).selectExpr("text as doc_id", "text"), cache)
+
+
 def test_edges(spark, tmp_path):
     d = edges(spark)
     found = T.count_tokens(d, f"{tmp_path}/c").collect()
