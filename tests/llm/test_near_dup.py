@@ -82,6 +82,66 @@ def test_sketches_are_full_and_their_agreement_estimates_jaccard():
     assert abs(np.mean(errors)) < 0.015 and np.std(errors) < 0.06
 
 
+def test_rows_of_one_doc_id_are_one_document(spark):
+    rng = random.Random(8)
+    same, own = prose(rng, 60), prose(rng, 60)
+    near = " ".join([*own.split()[:-1], "other"])
+    got = {r.doc_id: r.duplicate_of for r in near_dup.near_duplicates(documents(spark, [(1, same), (8, same), (8, own), (9, near)])).collect()}
+    assert got == {8: 1, 9: 1}
+    left = near_dup.drop_near_duplicates(documents(spark, [(1, same), (8, own), (8, own), (9, near)])).collect()
+    assert sorted(r.doc_id for r in left) == [1, 8]
+
+
+def test_buckets_that_span_partitions(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice([1, 2, 2, 2, 3, *range(10, 60)]), d, rng.randrange(3)) for d in range(400) for _ in range(rng.choice([1, 1, 2]))]
+    want = defaultdict(set)
+    for k, d, n in rows:
+        want[k].add((d, n))
+    from siltstone.llm._scratch import Scratch
+
+    found = defaultdict(set)
+    df = spark.createDataFrame(rows, "key long, doc_id long, size int")
+    for r in near_dup.buckets(df, Scratch(spark, "test")).collect():
+        found[r.key].add((r.at, r.doc_id, r["size"], r.least, r.least_size))
+    assert dict(found) == {k: {(i, *x, *min(v)) for i, x in enumerate(sorted(v))} for k, v in want.items() if len(v) > 1}
+
+
+def test_a_bucket_of_several_groups_needs_more_rounds_of_leaders(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "SALT_ROWS", 5)
+    monkeypatch.setattr(near_dup, "GROWTH", 2)
+    rng = random.Random(6)
+    # Families around a common part of less than the threshold: in one bucket, but not near each other.
+    common, texts = prose(rng, 60).split(), {}
+    for family in range(6):
+        own = prose(rng, 60).split()
+        for _ in range(4):
+            tail = [*own]
+            tail[rng.randrange(60)] = f"x{len(texts)}"
+            texts[len(texts)] = " ".join([*common, *tail])
+    got = {r.doc_id: r.duplicate_of for r in near_dup.near_duplicates(documents(spark, list(texts.items())), r=1).collect()}
+    assert got == brute_groups(texts, near_dup.THRESHOLD)
+    ids = list(texts)
+    rng.shuffle(ids)
+    mixed = dict(zip(ids, texts.values()))
+    got = {r.doc_id: r.duplicate_of for r in near_dup.near_duplicates(documents(spark, list(mixed.items())), r=1).collect()}
+    assert got == brute_groups(mixed, near_dup.THRESHOLD)
+
+
+def test_query_equals_brute_force(spark):
+    from oracle import SF_DIR
+
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").collect()}
+    want = brute_groups(texts, near_dup.THRESHOLD)
+    got = {r.doc_id: r.duplicate_of for r in near_dup.op1_near_dup(spark, SF_DIR).collect()}
+    assert set(got) <= set(want) and len(got) >= 0.95 * len(want)
+
+
+def test_ids_that_are_no_numbers_are_refused(spark):
+    with pytest.raises(TypeError, match="doc_id"):
+        near_dup.near_duplicates(spark.createDataFrame([("x", "y")], "doc_id string, text string"))
+
+
 def test_one_stays_of_each_group_and_edges(spark):
     d = edges(spark)
     left = near_dup.drop_near_duplicates(d)
