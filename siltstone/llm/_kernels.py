@@ -13,7 +13,7 @@ BASE = 0x5851F42D4C957F2D | 1
 MASK = (1 << 64) - 1
 
 #: Bytes of text that one pass of the kernels takes; a longer text is a pass of its own.
-PASS_BYTES = 1 << 20
+PASS_BYTES = 1 << 19
 
 
 def mix(x: np.ndarray) -> np.ndarray:

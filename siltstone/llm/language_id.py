@@ -18,13 +18,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from siltstone.llm import _kernels as K
-from siltstone.llm._scratch import sized
+from siltstone.llm._scratch import doc_id
 
 ORDER = 4
 #: The bound of the fit: labelled rows for each language, those of the least hash of doc_id. A fourth of them is held out.
 ROWS_PER_LANGUAGE = 400
-#: Languages with fewer rows than this aren't modelled.
-LEAST_ROWS = 8
+#: Languages with fewer rows than this aren't modelled, nor any but these many of most rows: what is sampled and broadcast is bounded whatever lang holds.
+LEAST_ROWS, MOST_LANGUAGES = 8, 250
 REJECT, SLACK = 0.999, 0.35
 OTHER, MARK = 1, 2  # symbols for what is no letter, and for the beginning of a text
 ALPHABET = 1 << 16
@@ -196,13 +196,18 @@ def _lookup(keys: np.ndarray, directory: tuple[int, np.ndarray, int], wanted: np
     return np.minimum(at, max(len(keys) - 1, 0)), found
 
 
-def labelled_sample(documents: DataFrame, rows: int = ROWS_PER_LANGUAGE) -> list:
-    """(lang, text) of at most rows documents of each language, of the least hash of doc_id; null or blank texts and languages are left out."""
-    named = documents.where("doc_id is not null and trim(lang) <> '' and lang <> 'und' and text is not null").select(F.col("doc_id").cast("long").alias("_id"), "lang").distinct()
+def labelled_sample(documents: DataFrame, rows: int = ROWS_PER_LANGUAGE, languages: int = MOST_LANGUAGES) -> list:
+    """(lang, hash, text) of at most rows documents of each of the languages of most rows, of the least hash of doc_id; null or blank texts and languages are left out.
+
+    At most rows * languages of them: both bound the fit. Rows are ranked before they are told apart, so rows of one doc_id and language take a place each, and the least of their texts counts.
+    """
+    named = documents.where("doc_id is not null and trim(lang) <> '' and lang <> 'und' and text is not null").select(doc_id(documents).alias("_id"), "lang")
+    common = named.groupBy("lang").count().where(F.col("count") >= LEAST_ROWS).orderBy(F.desc("count"), "lang").limit(languages).select("lang")
     order = Window.partitionBy("lang").orderBy(F.xxhash64("_id"), "_id")
-    ids = named.withColumn("n", F.row_number().over(order)).where(F.col("n") <= rows).drop("n")
-    texts = documents.where("text is not null").select(F.col("doc_id").cast("long").alias("_id"), F.lower("text").alias("text"))
-    return sorted((r.lang, r.n, r.text) for r in texts.join(sized(ids, rows), "_id").select("lang", F.xxhash64("_id").alias("n"), "text").collect())
+    ids = named.join(F.broadcast(common), "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= rows).select("_id", "lang").distinct()
+    texts = documents.where("text is not null").select(doc_id(documents).alias("_id"), "lang", F.lower("text").alias("text"))
+    found = texts.join(F.broadcast(ids), ["_id", "lang"]).groupBy("_id", "lang").agg(F.min("text").alias("text"))
+    return sorted((r.lang, r.n, r.text) for r in found.select("lang", F.xxhash64("_id").alias("n"), "text").collect())
 
 
 def fit(sample: list, order: int = ORDER) -> tuple[Models, np.ndarray] | None:
@@ -226,9 +231,9 @@ def identify(documents: DataFrame, rows: int = ROWS_PER_LANGUAGE) -> DataFrame:
     """(doc_id, language, cross_entropy, margin) for each row of documents.
 
     language is "und" where the text is rejected, is null, or has no letter (cross_entropy and margin are then
-    null), and everywhere if no language has enough labelled rows. margin is the distance to the second language, null if there is none.
-    Ties go to the language that is first by name. Texts of up to a few words get more room, SLACK * 8 / symbols. Repeated rows and null doc_ids
-    each have a row. Only doc_id, text and lang are read.
+    null), and everywhere if no language has enough labelled rows. A document of a language of fewer than LEAST_ROWS rows can only be "und" or of another language. margin is the distance to the second language, null if there is none.
+    Ties go to the language that is first by name. Texts of up to a few words get more room, SLACK * 8 / symbols; very long ones are scored whole. Repeated rows and null doc_ids
+    each have a row; an empty table gives no rows. Only doc_id (of a whole-number type, else a TypeError), text and lang are read, so other columns may have any name.
     """
     shared = documents.sparkSession.sparkContext.broadcast(fit(labelled_sample(documents, rows)))
     schema = pa.schema([("doc_id", pa.int64()), ("language", pa.string()), ("cross_entropy", pa.float64()), ("margin", pa.float64())])
@@ -252,7 +257,7 @@ def identify(documents: DataFrame, rows: int = ROWS_PER_LANGUAGE) -> DataFrame:
                     language = [models.languages[k] if t else "und" for k, t in zip(j, taken)]
                 yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(language, pa.string()), pa.array(best, from_pandas=True), pa.array(margin, from_pandas=True)], schema=schema)
 
-    return documents.select(F.col("doc_id").cast("long"), F.lower("text").alias("text")).mapInArrow(run, "doc_id long, language string, cross_entropy double, margin double")
+    return documents.select(doc_id(documents).alias("doc_id"), F.lower("text").alias("text")).mapInArrow(run, "doc_id long, language string, cross_entropy double, margin double")
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

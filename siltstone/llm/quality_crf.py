@@ -4,7 +4,8 @@ Each line of a document is good or bad. Its features are its own statistics and
 after it, standardised; two transition weights couple neighbours. The field is trained on a bounded sample of labelled
 documents, whose lines take their document's label, by gradient ascent on the conditional likelihood (exact
 forward-backward). A document's quality is the mean of its lines' marginal probabilities of being good, weighted by line length.
-The threshold is calibrated on the half of the sample that the field isn't trained on.
+The threshold is calibrated on the half of the sample that the field isn't trained on. Each line's own label (good where its
+marginal is at least a half) comes back as run lengths.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm import _features
+from siltstone.llm._scratch import doc_id
 from siltstone.llm.quality_rules import calibrated, first_half, labelled_sample
 
 #: The bound of the fit: labelled documents of each label that are trained and calibrated on, by least hash of doc_id.
@@ -107,10 +109,26 @@ def train(line: np.ndarray, first: np.ndarray, label: np.ndarray, epochs: int =
     return {"mean": mean, "spread": spread, "weights": weights, "transition": transition}
 
 
-def quality(line: np.ndarray, length: np.ndarray, first: np.ndarray, model: dict[str, np.ndarray]) -> np.ndarray:
+def quality(line: np.ndarray, length: np.ndarray, first: np.ndarray, model: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(each document's quality, each line's probability of being good)."""
     x = neighbours((line - model["mean"]) / model["spread"], first)
     good, _, _ = marginals(x @ model["weights"][:-1] + model["weights"][-1], first, model["transition"])
-    return document_quality(good, length, first)
+    return document_quality(good, length, first), good
+
+
+def qualities(column, model: dict[str, np.ndarray]) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(first row, past the last, their qualities) of an Arrow string column, pass by pass."""
+    for a, b, (line, length, first, _) in _features.measured(column, "lines"):
+        yield a, b, quality(line, length, first, model)[0]
+
+
+def label_runs(good: np.ndarray, first: np.ndarray) -> list[str]:
+    """Per document, how many lines are good, then bad, then good, and so on: "3,2" is three good lines and two bad ones, "0,2" two bad ones."""
+    at = np.unique(np.concatenate([first[:-1], np.flatnonzero(good[1:] != good[:-1]) + 1]))
+    lengths = np.diff(np.append(at, len(good)))
+    starts = np.append(np.searchsorted(at, first[:-1]), len(at))
+    told = lengths.astype(str).tolist()
+    return [("" if g else "0,") + ",".join(told[a:b]) for a, b, g in zip(starts[:-1], starts[1:], good[first[:-1]])]
 
 
 def _measured(sample: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -137,31 +155,31 @@ def fit(documents: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> d
     line, _, first, label = _measured(halves[0])
     model = train(line, first, label)
     line, length, first, label = _measured(halves[1])
-    return model | {"threshold": 1 - calibrated(1 - quality(line, length, first, model), label, MAX_GOOD_LOST)}
+    return model | {"threshold": 1 - calibrated(1 - quality(line, length, first, model)[0], label, MAX_GOOD_LOST)}
 
 
 def classify(documents: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> DataFrame:
-    """(doc_id, quality, good) for each row of documents.
+    """(doc_id, quality, good, line_runs) for each row of documents; line_runs are label_runs() of its lines.
 
-    A null or empty text has quality 0 and is not good. Where labels don't hold both kinds, quality is null and
-    every row is good. Repeated rows and null doc_ids each have a row. A document with labels of both kinds
-    is trained on as both. Only doc_id and text, and doc_id and quality of labels, are read; an empty table gives no rows.
+    A null or empty text has quality 0, is not good, and has one empty line, labelled like any other. Where labels don't hold both kinds, quality and line_runs are null and
+    every row is good. A quality equal to the threshold is good, as is a line of a probability of a half. Very long texts are measured whole. Repeated rows and null doc_ids each have a row. A document with labels of both kinds
+    is trained on as both. Only doc_id (of a whole-number type, else a TypeError) and text, and doc_id and quality of labels, are read, so other columns may have any name; an empty table gives no rows.
     """
     model = fit(documents, labels, rows)
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            model = shared.value
+            if model is None:
+                n = batch.num_rows
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.nulls(n, pa.float64()), pa.array(np.ones(n, bool)), pa.nulls(n, pa.string())], names=["doc_id", "quality", "good", "line_runs"])
+                continue
             for a, b, (line, length, first, _) in _features.measured(batch.column(1), "lines"):
-                model = shared.value
-                if model is None:
-                    values, good = pa.nulls(b - a, pa.float64()), np.ones(b - a, bool)
-                else:
-                    found = quality(line, length, first, model)
-                    values, good = pa.array(found), found >= model["threshold"]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), values, pa.array(good)], names=["doc_id", "quality", "good"])
-
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, quality double, good boolean")
+                found, lines = quality(line, length, first, model)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(found), pa.array(found >= model["threshold"]), pa.array(label_runs(lines >= 0.5, first), pa.string())], names=["doc_id", "quality", "good", "line_runs"])
+
+    return documents.select(doc_id(documents).alias("doc_id"), "text").mapInArrow(run, "doc_id long, quality double, good boolean, line_runs string")
 
 
 def op7_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,13 +19,13 @@ from pyspark.sql import functions as F
 
 from siltstone.llm import _features
 from siltstone.llm import _kernels as K
-from siltstone.llm._scratch import sized
+from siltstone.llm._scratch import doc_id, sized
 
 TREES, SAMPLE, DEPTH, MARGIN, SEED = 200, 256, 10, 1.0, 11
-#: Words at which a document's deviations count half.
-SHRINK = 30
+#: Words and characters at which the deviations of shares of them count half.
+SHRINK, SHRINK_CHARS = 30, 180
 #: Statistics that the rules judge: not the length, nor the digits and signs of personal data and prices, which other operators look after.
-JUDGED = [i for i, name in enumerate(_features.DOC_FEATURES) if name not in ("log_words", "log_lines", "log_line_words", "short_lines", "digit", "inner")]
+JUDGED = [i for i, name in enumerate(_features.DOC_FEATURES) if name not in ("log_words", "log_chars", "log_lines", "log_line_words", "short_lines", "digit", "inner")]
 #: Labelled rows that are measured for the forest and the threshold, by least hash of doc_id: the bound of the fit.
 LABELLED_ROWS = 4_000
 MAX_GOOD_LOST = 0.003
@@ -33,10 +33,11 @@ MAX_GOOD_LOST = 0.003
 
 def labelled_sample(documents: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> DataFrame:
     """(text, quality) of at most rows labelled documents, those of the least hash of doc_id; null labels are left out."""
-    known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max("quality").alias("quality"))
+    known = labels.where("doc_id is not null and quality is not null").groupBy(doc_id(labels).alias("_id")).agg(F.max("quality").alias("quality"))
     ids = known.orderBy(F.xxhash64("_id"), "_id").limit(rows)
-    texts = documents.where("text is not null").select(F.col("doc_id").cast("long").alias("_id"), "text")
-    return texts.join(sized(ids, rows), "_id").select("_id", "text", "quality")
+    texts = documents.where("text is not null").select(doc_id(documents).alias("_id"), "text")
+    # Of rows that repeat a doc_id the least text counts, so that the sample is bounded whatever the table holds.
+    return texts.join(sized(ids, rows), "_id").groupBy("_id").agg(F.min("text").alias("text"), F.first("quality").alias("quality"))
 
 
 def first_half(ids: np.ndarray, good: np.ndarray) -> np.ndarray:
@@ -63,9 +64,15 @@ def measured_sample(documents: DataFrame, labels: DataFrame, rows: int = LABELLE
     return np.array([r[0] for r in found], np.int64), table[:, :-1], table[:, -1] > 0
 
 
+#: Statistics that are shares of a document's characters: these, not the words, are what they rest on.
+OF_CHARS = np.array([name in ("upper", "digit", "symbol", "inner", "stops", "letters") for name in _features.DOC_FEATURES])
+
+
 def deviations(features: np.ndarray, mean: np.ndarray, spread: np.ndarray) -> np.ndarray:
-    words = np.expm1(features[:, :1])
-    return ((features - mean) / spread * (words / (words + SHRINK)))[:, JUDGED]
+    """How far each judged statistic is from the mean of good rows, in their deviations, shrunk where there is little to rest it on."""
+    words, chars = (np.expm1(features[:, _features.DOC_FEATURES.index(n)])[:, None] for n in ("log_words", "log_chars"))
+    evidence = np.where(OF_CHARS, chars / (chars + SHRINK_CHARS), words / (words + SHRINK))
+    return ((features - mean) / spread * evidence)[:, JUDGED]
 
 
 def grow(good: np.ndarray, trees: int = TREES, sample: int = SAMPLE, depth: int = DEPTH, seed: int = SEED) -> dict[str, np.ndarray]:
@@ -156,7 +163,7 @@ def score(documents: DataFrame, model: dict) -> DataFrame:
                 values = judged(doc, forest.value) if forest.value is not None else np.zeros(b - a)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(values)], names=["doc_id", "anomaly"])
 
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, anomaly double")
+    return documents.select(doc_id(documents).alias("doc_id"), "text").mapInArrow(run, "doc_id long, anomaly double")
 
 
 def judge_documents(documents: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> DataFrame:
@@ -164,14 +171,15 @@ def judge_documents(documents: DataFrame, labels: DataFrame, rows: int = LABELLE
 
     A null text is measured as an empty one: no words, no lines. Without any good labelled row nothing is rejected.
     Repeated rows and null doc_ids each have a row. Labels are joined by doc_id, of repeated ones the greatest
-    counts. Only doc_id and text, and doc_id and quality of labels, are read; an empty table gives no rows.
+    counts; of a labelled doc_id's rows, the least text. An anomaly equal to the threshold is kept. Very long texts are measured whole. Only doc_id (of a whole-number type, else a TypeError) and
+    text, and doc_id and quality of labels, are read, so other columns may have any name; an empty table gives no rows.
     """
     model = fit(documents, labels, rows)
     return score(documents, model).withColumn("rejected", F.col("anomaly") > F.lit(model["threshold"]))
 
 
 def drop_rejected(documents: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> DataFrame:
-    """The rows of documents that are not rejected, all columns as they are, whatever they are called."""
+    """The rows of documents that judge_documents() doesn't reject, all columns as they are, whatever they are called; no rows give none."""
     model = fit(documents, labels, rows)
     forest = documents.sparkSession.sparkContext.broadcast(model["forest"])
     threshold, at = model["threshold"], documents.columns.index("text")

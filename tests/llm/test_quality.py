@@ -2,6 +2,8 @@
 
 import itertools
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -95,6 +97,92 @@ def test_features_of_rows_do_not_depend_on_their_neighbours():
         assert len(own_line) == (t or "").count("\n") + 1
 
 
+def naive_words(line: str) -> list[str]:
+    return re.findall(r"[\u3000-\udfff]|[A-Za-z0-9\u0080-\u2fff\ue000-\uffff]+", line)
+
+
+def naive(text: str) -> tuple[list[list[float]], list[float]]:
+    """Every statistic of a text's lines and of the text, character by character."""
+    size = lambda ws: sum(len(w.encode()) for w in ws)
+    lower = lambda c: c.isascii() and c.islower()
+    upper = lambda c: c.isascii() and c.isupper() or "\u00c0" <= c <= "\u00de"
+    lead = lambda c: ord(c) > 127 and not upper(c)
+    stop, inner = ".!?", ",;:'\"-()"
+    symbol = lambda c: c.isascii() and not c.isalnum() and not c.isspace() and c not in stop + inner
+    n = lambda f, s: sum(map(f, s))
+    lines, seen, out = text.split("\n"), set(), []
+    again = []
+    for line in lines:
+        words, chars = naive_words(line), max(len(line), 1)
+        spans = [m.end() for m in re.finditer(r"[\u3000-\udfff]|[A-Za-z0-9\u0080-\u2fff\ue000-\uffff]+", line)]
+        marked = sum(e < len(line) and symbol(line[e]) for e in spans)
+        again.append(bool(words) and line in seen)
+        seen.add(line)
+        w1 = max(len(words), 1)
+        letters = n(lower, line) + n(upper, line) + n(lead, line)
+        longest = max([len(w.encode()) for w in words], default=0)
+        out.append([np.log1p(len(line)), np.log1p(len(words)), size(words) / w1, n(upper, line) / chars, n(lambda c: c in "0123456789", line) / chars, n(symbol, line) / chars, n(lambda c: c in inner, line) / chars,
+            float(line[-1:] in (".", "!", "?")), letters / chars, (len(words) - len(set(words))) / w1, marked / w1, float(bool(words) and upper(words[0][0])), float(again[-1]), np.log1p(longest), n(lambda c: c in stop, line) / chars])
+    words, chars = [w for line in lines for w in naive_words(line)], max(len(text), 1)
+    w1, counts = max(len(words), 1), Counter(words)
+    real = [i for i, line in enumerate(lines) if naive_words(line)]
+    r1 = max(len(real), 1)
+    marked = sum(round(x[10] * max(len(naive_words(line)), 1)) for x, line in zip(out, lines))
+    doc = [np.log1p(len(words)), size(words) / w1, n(upper, text) / chars, n(lambda c: c in "0123456789", text) / chars, n(symbol, text) / chars, n(lambda c: c in inner, text) / chars, n(lambda c: c in stop, text) / chars,
+        (n(lower, text) + n(upper, text) + n(lead, text)) / chars, (len(words) - len(counts)) / w1, marked / w1, sum(out[i][7] for i in real) / r1, sum(again[i] for i in real) / r1, sum(len(naive_words(lines[i])) < 4 for i in real) / r1,
+        np.log1p(len(words) / r1), max(counts.values(), default=0) / w1, sum(upper(w[0]) for w in words) / w1, np.log1p(len(real)), np.log1p(len(text))]
+    return out, doc
+
+
+def test_features_equal_naive_ones():
+    import pyarrow as pa
+
+    rng = random.Random(12)
+    bits = ["word", "Word", "ÉTÉ", "été", "$$$", "x1", "1999", "...", "!", "(a)", "日本語", "ß", "-", ",", "  ", "\t", "the the", "\u2014", "a$", "\n", "\n\n", "\nSame line.\nSame line."]
+    texts = ["", "\n", "a", "A.\n", "$$$ ###", *(" ".join(rng.choice(bits) for _ in range(rng.randrange(1, 60))) for _ in range(150))]
+    line, length, first, doc = next(_features.measured(pa.array(texts)))[2]
+    for i, t in enumerate(texts):
+        lines, whole = naive(t)
+        assert np.allclose(line[first[i] : first[i + 1]], lines, atol=1e-12), t
+        assert np.allclose(doc[i], whole, atol=1e-12), (t, dict(zip(_features.DOC_FEATURES, zip(doc[i], whole))))
+        assert length[first[i] : first[i + 1]].tolist() == [len(x.encode()) for x in t.split("\n")]
+
+
+def test_line_runs():
+    good = np.array([True, True, False, False, True, False, True])
+    assert quality_crf.label_runs(good, np.array([0, 3, 4, 7])) == ["2,1", "0,1", "1,1,1"]
+    rng = np.random.default_rng(3)
+    for _ in range(20):
+        lengths = rng.integers(1, 9, 12)
+        first, good = np.concatenate([[0], np.cumsum(lengths)]), rng.random(lengths.sum()) < 0.6
+        for told, a, b in zip(quality_crf.label_runs(good, first), first[:-1], first[1:]):
+            back = [x for i, n in enumerate(map(int, told.split(","))) for x in [i % 2 == 0] * n]
+            assert back == good[a:b].tolist()
+
+
+def test_query_equals_forward_backward_document_by_document(spark):
+    """op7 on the whole table: each document alone, by exact marginals of its own lines."""
+    import pyarrow as pa
+
+    d, labels = (spark.read.parquet(f"{SF_DIR}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality_crf.fit(d, labels)
+    texts = {r.doc_id: r.text for r in d.collect()}
+    for r in quality_crf.op7_quality_crf(spark, SF_DIR).collect():
+        line, length, first, _ = next(_features.measured(pa.array([texts[r.doc_id]])))[2]
+        x = np.hstack([quality_crf.neighbours((line - model["mean"]) / model["spread"], first), np.ones((len(line), 1))])
+        good, _, _ = quality_crf.marginals(x @ model["weights"], first, model["transition"])
+        want = float((good * length).sum() / length.sum()) if length.sum() else 0.0
+        assert abs(r.quality - want) < 1e-9 and r.good == (r.quality >= model["threshold"])
+        assert sum(map(int, r.line_runs.split(","))) == len(line)
+
+
+def test_a_long_text_of_symbols_is_rejected(spark):
+    d, labels = (spark.read.parquet(f"{SF_DIR.replace('sf0.001', 'sf0.01')}/{t}.parquet") for t in ("documents", "labels"))
+    odd = documents(spark, [(-1, "$$$ ### *** " * 1700), (-2, "@" * 5000)]).select(*d.columns)
+    found = {r.doc_id: r.rejected for r in quality_rules.judge_documents(d.union(odd), labels).where("doc_id < 0").collect()}
+    assert found == {-1: True, -2: True}
+
+
 @pytest.mark.parametrize("op", ["rules", "field"])
 def test_good_and_bad_documents_are_told_apart(spark, op):
     d, labels = corpus(spark)
@@ -110,8 +198,12 @@ def test_labels_of_the_test_tables(spark):
     d, labels = (spark.read.parquet(f"{SF_DIR.replace('sf0.001', 'sf0.01')}/{t}.parquet") for t in ("documents", "labels"))
     for found in (quality_rules.judge_documents(d, labels).selectExpr("doc_id", "rejected as bad"), quality_crf.classify(d, labels).selectExpr("doc_id", "not good as bad")):
         rows = found.join(labels, "doc_id").collect()
+        # Only rows that neither model was grown or trained on.
+        ids, kind = (np.array(x) for x in zip(*sorted((r.doc_id, r.quality > 0) for r in rows)))
+        grown = set(ids[quality_rules.first_half(ids, kind)].tolist())
+        rows = [r for r in rows if r.doc_id not in grown]
         good, bad = [r.bad for r in rows if r.quality == 1], [r.bad for r in rows if r.quality == 0]
-        assert np.mean(good) <= 0.02 and np.mean(bad) >= 0.5
+        assert np.mean(good) <= 0.02 and np.mean(bad) >= 0.75, (np.mean(good), np.mean(bad))
 
 
 def test_edges(spark):
