@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm._scratch import Scratch, partitions
+from siltstone.llm._scratch import Scratch, doc_id, partitions, unused
 
 SWEPT = "doc_id long, pos int, pid int, first_hi long, first_lo long, last_hi long, last_lo long"
 SALT = 7368787
@@ -74,7 +74,7 @@ def _kept_flags(drops: Column) -> Column:
 def repeated_lines(documents: DataFrame, scratch: Scratch) -> DataFrame:
     """(doc_id, drops): the sorted positions of each document's lines that occur earlier in doc_id, position order."""
     spark = documents.sparkSession
-    lines = documents.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    lines = documents.where("doc_id is not null").select(doc_id(documents).alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     trimmed = F.trim(F.translate("line", "\r\t", "  "))
     hashed = lines.where(trimmed != "").select(F.xxhash64(trimmed).alias("hi"), F.xxhash64(F.lit(SALT), trimmed).alias("lo"), "doc_id", "pos")
     keyed = scratch.write(hashed, "hashes")
@@ -96,12 +96,14 @@ def line_bitmaps(documents: DataFrame) -> DataFrame:
     A line is a repeat if an equal line, tabs and spaces at its ends aside, comes before it in order of doc_id and position;
     blank lines are always kept. A null text has 0 lines and the runs "0"; an empty text has one blank
     line. Rows with a null doc_id are left out. Rows that repeat a doc_id count as one document: each
-    has its own row here with the positions of both, and of equal lines at one position none repeats the other.
+    has its own row here with the positions of both, and of equal lines at one position none repeats the other. A very long text
+    is taken line by line, each as long as it is; an empty table gives no rows. Only doc_id (of a whole-number type, else a
+    TypeError) and text are read, so other columns may have any name.
     """
     scratch = Scratch(documents.sparkSession, "linededup")
     drops = repeated_lines(documents, scratch)
     n = F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("int")
-    counts = documents.where("doc_id is not null").select(F.col("doc_id").cast("long"), n.alias("n_lines"))
+    counts = documents.where("doc_id is not null").select(doc_id(documents).alias("doc_id"), n.alias("n_lines"))
     own = F.filter(F.coalesce("drops", F.expr("array()").cast("array<int>")), lambda x: x < F.col("n_lines"))
     found = counts.join(drops, "doc_id", "left").withColumn("drops", own)
     past = F.coalesce(F.array_max("drops") + 1, F.lit(0))
@@ -113,18 +115,20 @@ def drop_repeated_lines(documents: DataFrame) -> DataFrame:
     """documents with repeated lines taken out of text; all other columns as they are but n_chars, the new length.
 
     A document all of whose lines are repeats is dropped. Null and empty texts, and rows with a null
-    doc_id, stay as they are. Extra columns of any name are kept.
+    doc_id, stay as they are. Extra columns of any name are kept; an empty table stays one. What repeats what, and what rows of one doc_id
+    do to each other, is as in line_bitmaps().
     """
     scratch = Scratch(documents.sparkSession, "linededup")
-    drops = repeated_lines(documents, scratch).select(F.col("doc_id").alias("_ss_doc"), F.col("drops").alias("_ss_drops"))
-    joined = documents.join(drops, documents["doc_id"].cast("long") == F.col("_ss_doc"), "left")
+    own, gone, made = unused(documents.columns, "dedup_doc", "dedup_drops", "dedup_text")
+    drops = repeated_lines(documents, scratch).select(F.col("doc_id").alias(own), F.col("drops").alias(gone))
+    joined = documents.join(drops, doc_id(documents) == F.col(own), "left")
     # No lambda here refers to a computed column: Catalyst would inline it and evaluate it for each element.
-    pairs = F.filter(F.arrays_zip(F.split("text", "\n").alias("line"), _kept_flags(F.col("_ss_drops")).alias("keep")), lambda z: z["line"].isNotNull() & F.coalesce(z["keep"], F.lit(True)))
-    left = F.when(F.col("_ss_drops").isNotNull(), F.array_join(F.transform(pairs, lambda z: z["line"]), "\n")).otherwise(F.col("text"))
+    pairs = F.filter(F.arrays_zip(F.split("text", "\n").alias("line"), _kept_flags(F.col(gone)).alias("keep")), lambda z: z["line"].isNotNull() & F.coalesce(z["keep"], F.lit(True)))
+    left = F.when(F.col(gone).isNotNull(), F.array_join(F.transform(pairs, lambda z: z["line"]), "\n")).otherwise(F.col("text"))
     # The generator keeps the new text from being computed once for the filter and again for each column.
-    out = joined.withColumn("_ss_text", F.explode(F.array(left))).where(F.col("_ss_drops").isNull() | (F.trim(F.translate("_ss_text", "\r\t\n", "   ")) != ""))
-    made = {"text": F.col("_ss_text")} | ({"n_chars": F.when(F.col("_ss_drops").isNull(), F.col("n_chars")).otherwise(F.length("_ss_text")).cast(documents.schema["n_chars"].dataType)} if "n_chars" in documents.columns else {})
-    return out.select(*(made[c].alias(c) if c in made else F.col(f"`{c}`") for c in documents.columns))
+    out = joined.withColumn(made, F.explode(F.array(left))).where(F.col(gone).isNull() | (F.trim(F.translate(made, "\r\t\n", "   ")) != ""))
+    new = {"text": F.col(made)} | ({"n_chars": F.when(F.col(gone).isNull(), F.col("n_chars")).otherwise(F.length(made)).cast(documents.schema["n_chars"].dataType)} if "n_chars" in documents.columns else {})
+    return out.select(*(new[c].alias(c) if c in new else F.col(f"`{c}`") for c in documents.columns))
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,8 @@
 A source's token budget is its share of the whole budget. As many complete epochs of the source as fit come
 first; what is left of the budget is filled from a weighted sample without replacement: document i has
 the key -ln(u_i) / w_i with u_i from a digest of its doc_id and w_i its quality weight, keys are sorted within the source and tokens
-prefix-summed until the rest of the budget is used.
+prefix-summed until the rest of the budget is used. Tokens are those of the tokenizer of token_counts, and the weight comes from
+the document's quality by the line field of quality_crf; both are measured in one pass over the texts.
 
 The prefix sums need no task that holds a whole source: keys fall into ordered buckets of about BUCKET_ROWS
 documents, buckets are summed and prefix-summed, and each bucket is then sorted and summed on its own.
@@ -11,25 +12,56 @@ documents, buckets are summed and prefix-summed, and each bucket is then sorted
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from siltstone.llm._scratch import Scratch
+from siltstone.llm import quality_crf
+from siltstone.llm._scratch import Scratch, doc_id, sized, unused
+from siltstone.llm.token_counts import TOKENIZER, Tokenizer
 
 #: target share of a source ~ (its tokens) ** TEMPERATURE; below 1, small sources gain.
 TEMPERATURE, SEED, BUCKET_ROWS = 0.7, "mix-1", 20_000
+#: The weight of a document of quality 0; one of quality 1 has the weight 1.
+LEAST_WEIGHT = 0.05
+
+
+def weight_of(quality: np.ndarray) -> np.ndarray:
+    return LEAST_WEIGHT + (1 - LEAST_WEIGHT) * quality
 
 
-def token_estimate(text: Column) -> Column:
-    """Runs of non-space characters: not the tokens of op10's tokenizer, and 1 for a long text without spaces."""
-    return F.coalesce(F.regexp_count(text, F.lit(r"\S+")), F.lit(0)).cast("long")
+def _measured(tokenizer, model):
+    """(doc_id, source, text, n_tokens, weight) -> (doc_id, source, n_tokens, weight), the last two measured where there is a broadcast for them."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, source, texts, tokens, weight = batch.columns
+            if tokenizer:
+                tokens = pa.array(tokenizer.value.counts(texts.to_pylist()), pa.int64())
+            if model and model.value is not None:
+                weight = pa.array(weight_of(np.concatenate([found for _, _, found in quality_crf.qualities(texts, model.value)] or [np.zeros(0)])))
+            yield pa.RecordBatch.from_arrays([ids, source, tokens, weight], names=["doc_id", "source", "n_tokens", "weight"])
 
-def quality_weight(text: Column) -> Column:
-    """0.1 for a text without letters up to 1 for one of letters and spaces only."""
-    n = F.length(text)
-    return F.when(n > 0, F.lit(0.1) + F.lit(0.9) * (F.length(F.regexp_replace(text, r"[^\p{L}\s]+", "")) / n)).otherwise(F.lit(0.1))
+    return run
+
+
+def measured(documents: DataFrame, labels: DataFrame | None, tokens: str | None, weight: str | None, tokenizer: str, examples: DataFrame | None) -> DataFrame:
+    """(doc_id, source, n_tokens, weight) of each row with a doc_id: from the named columns, else from the text, in one pass."""
+    context = documents.sparkSession.sparkContext
+    n = F.greatest(F.coalesce(F.col(f"`{tokens}`").cast("long"), F.lit(0)), F.lit(0)).cast("long") if tokens else F.lit(0).cast("long")
+    w = F.greatest(F.coalesce(F.col(f"`{weight}`").cast("double"), F.lit(0.0)), F.lit(1e-9)) if weight else F.lit(1.0)
+    fitted = not weight and labels is not None
+    known = [doc_id(documents).alias("doc_id"), F.col("source").cast("string").alias("source"), *([F.col("text")] if not tokens or fitted else []), n.alias("n_tokens"), w.alias("weight")]
+    rows = documents.where("doc_id is not null").select(*known)
+    if tokens and not fitted:
+        return rows
+    read = None if tokens else context.broadcast(Tokenizer.read(tokenizer))
+    model = context.broadcast(quality_crf.fit(documents if examples is None else examples, labels)) if fitted else None
+    return rows.mapInArrow(_measured(read, model), "doc_id long, source string, n_tokens long, weight double")
 
 
 def exponential_key(doc_id: Column, weight: Column, seed: str = SEED) -> Column:
@@ -37,20 +69,32 @@ def exponential_key(doc_id: Column, weight: Column, seed: str = SEED) -> Column:
     return -F.log((bits + F.lit(0.5)) / F.lit(float(1 << 52))) / weight
 
 
-def copies(documents: DataFrame, weights: dict[str, float] | None = None, budget: int | None = None, temperature: float = TEMPERATURE, seed: str = SEED) -> DataFrame:
+def copies(
+    documents: DataFrame,
+    labels: DataFrame | None = None,
+    weights: dict[str, float] | None = None,
+    budget: int | None = None,
+    temperature: float = TEMPERATURE,
+    seed: str = SEED,
+    tokens: str | None = None,
+    weight: str | None = None,
+    tokenizer: str = TOKENIZER,
+    examples: DataFrame | None = None,
+) -> DataFrame:
     """(doc_id, source, n_tokens, copies) for each document that the mix takes at least once.
 
     weights: source -> share of the budget (they are normalised; a source not named gets none); without
     them, shares follow the sources' tokens to the power of temperature. budget: tokens in all; without it, those of all documents.
     A document is taken whole once the tokens before it are below the rest of the budget, so the last one may
-    pass it. Tokens are those of token_estimate(), runs of non-space characters. A null source is a source of its own. Rows with a null doc_id are left out; null or empty texts
+    pass it, however long it is. tokens, weight: columns of given lengths and quality weights (null: none, and the least weight); without tokens, texts are
+    encoded whole by the tokenizer, and without weight the quality comes from the field fitted on labels(doc_id, quality) of examples (by default the documents), 1 everywhere if these are not of both kinds.
+    A null source is a source of its own. Rows with a null doc_id are left out; null or empty texts
     have no tokens and are taken as often as complete epochs are, or in the sample while budget is left.
     Rows that repeat a doc_id in a source count as one document: the one of most tokens, then greatest weight. Ties
-    in the key go by doc_id. No rows, or no budget, give no rows.
+    in the key go by doc_id. No rows, or no budget, give no rows. Other columns may have any name; a doc_id that is no whole number is a TypeError.
     """
     scratch = Scratch(documents.sparkSession, "mixing")
-    measured = documents.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("source").cast("string"), token_estimate(F.col("text")).alias("n_tokens"), quality_weight(F.col("text")).alias("weight"))
-    once = measured.groupBy("doc_id", "source").agg(F.max(F.struct("n_tokens", "weight")).alias("m")).select("doc_id", "source", "m.n_tokens", "m.weight")
+    once = measured(documents, labels, tokens, weight, tokenizer, examples).groupBy("doc_id", "source").agg(F.max(F.struct("n_tokens", "weight")).alias("m")).select("doc_id", "source", "m.n_tokens", "m.weight")
     rows = scratch.write(once.withColumn("key", exponential_key(F.col("doc_id"), F.col("weight"), seed)).drop("weight"), "rows")
 
     per = rows.groupBy("source").agg(F.sum("n_tokens").alias("have"), F.count("*").alias("docs"))
@@ -66,8 +110,7 @@ def copies(documents: DataFrame, weights: dict[str, float] | None = None, budget
     epochs = F.when(F.col("have") > 0, F.floor(F.col("target") / F.col("have"))).otherwise(F.lit(0)).cast("long")
     plan = scratch.write(planned.select("source", epochs.alias("epochs"), (F.col("target") - epochs * F.col("have")).alias("rest"), F.ceil(F.col("docs") / BUCKET_ROWS).alias("buckets")), "plan")
 
-    small = plan.limit(100_001).count() <= 100_000
-    side = F.broadcast(plan) if small else plan
+    side = sized(plan, plan.count())
     joined = rows.join(side.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     # 1 - exp(-key) grows with the key and spreads it over [0, 1).
     keyed = joined.withColumn("bucket", F.floor((F.lit(1.0) - F.exp(-F.col("key"))) * F.col("buckets")).cast("long"))
@@ -81,38 +124,18 @@ def copies(documents: DataFrame, weights: dict[str, float] | None = None, budget
     return placed.withColumn("copies", taken.cast("long")).where("copies > 0").select("doc_id", "source", "n_tokens", "copies")
 
 
-def mix_sources(documents: DataFrame, **parameters) -> DataFrame:
-    """documents as the mix takes them: each row as often as copies() says, all columns as they are.
+def mix_sources(documents: DataFrame, labels: DataFrame | None = None, **parameters) -> DataFrame:
+    """documents as the mix takes them: each row as often as copies() says, all columns as they are, whatever they are called.
 
     Rows with a null doc_id are left out. Rows that repeat a doc_id in a source are each taken.
     """
-    plan = copies(documents, **parameters).select(F.col("doc_id").alias("_ss_doc"), F.col("source").alias("_ss_source"), F.col("copies").alias("_ss_copies"))
+    own, source, times, copy = unused(documents.columns, "mixed_doc", "mixed_source", "mixed_copies", "mixed_copy")
+    plan = copies(documents, labels, **parameters).select(F.col("doc_id").alias(own), F.col("source").alias(source), F.col("copies").alias(times))
     narrow = Scratch(documents.sparkSession, "mixing-copies").write(plan, "copies")
-    joined = documents.join(narrow, (documents["doc_id"].cast("long") == F.col("_ss_doc")) & documents["source"].cast("string").eqNullSafe(F.col("_ss_source")))
-    repeated = joined.withColumn("_ss_copy", F.explode(F.array_repeat(F.lit(1), F.col("_ss_copies").cast("int"))))
-    return repeated.select(*(documents[f"`{c}`"] for c in documents.columns))
+    joined = documents.join(narrow, (doc_id(documents) == F.col(own)) & F.col("source").cast("string").eqNullSafe(F.col(source)))
+    repeated = joined.withColumn(copy, F.explode(F.array_repeat(F.lit(1), F.col(times).cast("int"))))
+    return repeated.select(*(F.col(f"`{c}`") for c in documents.columns))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return copies(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-
-
-OP6_SQL = rf"""
-WITH measured AS (
-  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '\S+')), 0) AS BIGINT) AS n_tokens,
-    CASE WHEN length(text) > 0 THEN 0.1::DOUBLE + 0.9::DOUBLE * (length(regexp_replace(text, '[^\p{{L}}\s]+', '', 'g'))::DOUBLE / length(text)::DOUBLE) ELSE 0.1::DOUBLE END AS weight
-  FROM documents WHERE doc_id IS NOT NULL),
-once AS (
-  SELECT * FROM measured QUALIFY row_number() OVER (PARTITION BY doc_id, source ORDER BY n_tokens DESC, weight DESC) = 1),
-keyed AS (
-  SELECT *, -ln((('0x' || substr(md5(CAST(doc_id AS VARCHAR) || ':{SEED}'), 1, 13))::BIGINT + 0.5::DOUBLE) / {1 << 52}::DOUBLE) / weight AS key FROM once),
-per AS (SELECT source, CAST(sum(n_tokens) AS BIGINT) AS have, pow(CAST(sum(n_tokens) AS DOUBLE), {TEMPERATURE}::DOUBLE) AS share FROM keyed GROUP BY source),
-planned AS (
-  SELECT source, have, CAST(floor(CAST(sum(have) OVER () AS DOUBLE) * share / sum(share) OVER ()) AS BIGINT) AS target FROM per),
-plan AS (SELECT source, CASE WHEN have > 0 THEN target // have ELSE 0 END AS epochs, target - CASE WHEN have > 0 THEN target // have ELSE 0 END * have AS rest FROM planned),
-summed AS (
-  SELECT k.*, coalesce(sum(n_tokens) OVER (PARTITION BY source ORDER BY key, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent FROM keyed k)
-SELECT s.doc_id, s.source, s.n_tokens, CAST(p.epochs + CASE WHEN s.spent < p.rest THEN 1 ELSE 0 END AS BIGINT) AS copies
-FROM summed s JOIN plan p ON s.source IS NOT DISTINCT FROM p.source
-WHERE p.epochs + CASE WHEN s.spent < p.rest THEN 1 ELSE 0 END > 0
-"""
+    return copies(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))

@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from siltstone.llm._scratch import Scratch
-from siltstone.llm.mixing import token_estimate
+from siltstone.llm._scratch import Scratch, doc_id
+from siltstone.llm.token_counts import TOKENIZER, Tokenizer
 
 CAPACITY = 2048
 #: Rows of documents and gaps that a partition of a sweep gets.
@@ -132,19 +132,30 @@ def _taken(swept: DataFrame, plan: list[tuple[int, int, int, int, int]]) -> Data
     return here.union(docs.join(cells, ["gap_pid", "slot"]).select("id", "size", "bin"))
 
 
-def pack(documents: DataFrame, capacity: int = CAPACITY, tokens: str | None = None) -> DataFrame:
+def token_lengths(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
+    """(doc_id, n): each row's tokens, encoded where the row is read."""
+    shared = documents.sparkSession.sparkContext.broadcast(Tokenizer.read(tokenizer))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared.value.counts(batch.column(1).to_pylist()), pa.int64())], names=["doc_id", "n"])
+
+    return documents.select(doc_id(documents).alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long")
+
+
+def pack(documents: DataFrame, capacity: int = CAPACITY, tokens: str | None = None, tokenizer: str = TOKENIZER) -> DataFrame:
     """(doc_id, chunk, n_tokens, sequence, offset) for each piece of each document.
 
-    A document of more than capacity tokens is cut into full chunks, each a sequence of its own, and a rest; chunk counts the pieces
+    A document of more than capacity tokens, however long, is cut into full chunks, each a sequence of its own, and a rest; chunk counts the pieces
     from 0. Pieces of a sequence don't overlap and end at or below capacity; offset is where a piece begins. tokens:
-    a column of lengths; without it, lengths are those of token_estimate(). There a token is a run of non-space characters:
-    a text without spaces (Han, base64) counts as 1 and is never cut, and a tokenizer's own counts mostly pass capacity; give these as tokens to keep to it. Documents of no tokens (null and empty texts)
-    are left out. Repeated rows, and rows with a null doc_id, are each packed. Ties in size go by order of reading.
+    a column of lengths; without it, texts are encoded whole by the tokenizer. Documents of no tokens (null and empty texts, null or negative lengths)
+    are left out. Repeated rows, and rows with a null doc_id, are each packed. Ties in size go by order of reading. An empty table
+    gives no rows. Only doc_id (of a whole-number type, else a TypeError) and text or tokens are read, so other columns may have any name.
     """
     spark = documents.sparkSession
     scratch = Scratch(spark, "packing")
-    length = F.col(f"`{tokens}`").cast("long") if tokens else token_estimate(F.col("text"))
-    lengths = scratch.write(documents.select(F.col("doc_id").cast("long"), length.alias("n")).where("n > 0").withColumn("id", F.monotonically_increasing_id()), "lengths")
+    counted = documents.select(doc_id(documents).alias("doc_id"), F.col(f"`{tokens}`").cast("long").alias("n")) if tokens else token_lengths(documents, tokenizer)
+    lengths = scratch.write(counted.where("n > 0").withColumn("id", F.monotonically_increasing_id()), "lengths")
     full = lengths.where(F.col("n") >= capacity).select("doc_id", F.explode(F.sequence(F.lit(0), (F.floor(F.col("n") / capacity) - 1).cast("int"))).alias("chunk"))
     full, sequences = _numbered(full, scratch, "full")
     out = [full.select("doc_id", "chunk", F.lit(capacity).alias("n_tokens"), F.col("n").alias("sequence"), F.lit(0).alias("offset"))]

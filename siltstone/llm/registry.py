@@ -28,5 +28,4 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op3_url_filter": url_filter.OP3_SQL,
         "op5_line_dedup": line_dedup.OP5_SQL,
-        "op6_mixing": mixing.OP6_SQL,
     }

@@ -4,9 +4,11 @@ from collections import defaultdict
 
 import pytest
 from corpora import documents, edges, empty
+from oracle import SF_DIR
 from pyspark.sql import functions as F
 
 from siltstone.llm import packing
+from siltstone.llm.token_counts import Tokenizer
 
 
 def best_fit(sizes: list[int], capacity: int) -> int:
@@ -77,11 +79,34 @@ def test_brackets_take_the_nearest_open_slots():
     assert plan == [(2, 0, 3, 1, 0), (3, 0, 1, 1, 3), (3, 1, 3, 0, 0)]
 
 
+def encoded(text: str | None) -> int:
+    return len(Tokenizer.read().encoding().encode_ordinary(text)) if text else 0
+
+
+def test_query_packs_the_tokens_of_the_tokenizer(spark):
+    lengths = {r.doc_id: encoded(r.text) for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").collect()}
+    sequences = checked(packing.op4_packing(spark, SF_DIR).collect(), lengths, packing.CAPACITY)
+    rests = [n % packing.CAPACITY for n in lengths.values() if n % packing.CAPACITY]
+    assert sequences <= 1.08 * (sum(n // packing.CAPACITY for n in lengths.values()) + best_fit(rests, packing.CAPACITY)) + 2
+
+
 def test_edges(spark):
     d = edges(spark)
     found = packing.pack(d).collect()
     ids = {r.doc_id for r in found}
-    assert ids == {1, 2, None, 6, 7, 8, 9, 10, 11, 12}  # no tokens: 3, 4, 5 and the row of nulls
-    assert sum(r.n_tokens for r in found if r.doc_id == 6) == 180_000
+    assert ids == {1, 2, None, 5, 6, 7, 8, 9, 10, 11, 12}  # no tokens: 3, 4 and the row of nulls; white space has some
+    texts = {r.doc_id: r.text for r in d.collect()}
+    for i in (6, 9, 11, 12):
+        assert sum(r.n_tokens for r in found if r.doc_id == i) == encoded(texts[i])
     assert sum(r.doc_id == 1 for r in found) == 2 and sum(r.doc_id == 8 for r in found) == 2
     assert packing.pack(empty(spark)).collect() == []
+    odd = spark.createDataFrame([(1, None, 1), (2, -3, 1), (3, 0, 1), (4, 9, 1), (None, 9, 1)], "doc_id long, size int, sequence int")
+    assert sorted((r.doc_id or 0, r.n_tokens) for r in packing.pack(odd, tokens="size").collect()) == [(0, 9), (4, 9)]
+    with pytest.raises(TypeError, match="doc_id"):
+        packing.pack(d.withColumn("doc_id", d.text))
+
+
+def test_a_text_without_spaces_is_cut_at_its_tokens(spark):
+    text = "吾輩は猫である。名前はまだ無い。どこで生れたかとんと見当がつかぬ。" * 160
+    found = packing.pack(documents(spark, [(1, text)])).collect()
+    assert sum(r.n_tokens for r in found) == encoded(text) > packing.CAPACITY and len(found) == -(-encoded(text) // packing.CAPACITY)

@@ -6,11 +6,14 @@ import pytest
 from oracle import SF_DIR
 from test_line_dedup import brute as lines_of
 from test_line_dedup import trimmed
+from corpora import edges, empty
 from test_mixing import brute as copies_of
+from test_mixing import measured
 from test_near_dup import brute_groups
 
 import corpus_pipeline
 from siltstone.llm import near_dup, packing
+from siltstone.llm.token_counts import Tokenizer
 
 
 @pytest.fixture(scope="module")
@@ -59,18 +62,19 @@ def test_near_copies(stages):
     assert dropped <= gone and len(dropped) >= 0.95 * len(gone)
 
 
-def test_mix(stages):
+def test_mix(spark, stages):
     (_, _, _, before, after, _), _ = stages
-    want = copies_of([(r.doc_id, r.text, r.source) for r in before])
+    want = copies_of(measured(spark, before, [spark.read.parquet(f"{SF_DIR}/{t}.parquet") for t in ("documents", "labels")]))
     got = Counter((r.doc_id, r.source) for r in after)
     assert sum((got - Counter(want)).values()) + sum((Counter(want) - got).values()) == 0
 
 
 def test_packed_sequences_hold_every_token(stages):
     (*_, before, after), _ = stages
+    encode = Tokenizer.read().encoding().encode_ordinary
     tokens, packed, at = Counter(), Counter(), defaultdict(list)
     for r in before:
-        tokens[r.doc_id] += len(r.text.split()) if r.text else 0
+        tokens[r.doc_id] += len(encode(r.text)) if r.text else 0
     for p in after:
         packed[p.doc_id] += p.n_tokens
         at[p.sequence].append((p.offset, p.n_tokens))
@@ -85,3 +89,26 @@ def test_run_is_the_stages_in_turn(spark, stages):
     found = corpus_pipeline.run(spark, SF_DIR).collect()
     key = lambda rows: Counter((r.doc_id, r.chunk, r.n_tokens) for r in rows)
     assert key(found) == key(tables[-1])
+
+
+def written(spark, root, docs) -> str:
+    docs.write.parquet(f"{root}/documents.parquet")
+    spark.createDataFrame([(1, 1), (2, 1), (9, 0), (10, 0), (None, 1), (3, None)], "doc_id long, quality int").write.parquet(f"{root}/labels.parquet")
+    return str(root)
+
+
+def test_nulls_repeated_rows_and_clashing_columns_go_through_every_stage(spark, tmp_path):
+    docs = edges(spark)
+    sf_dir, table = written(spark, tmp_path / "in", docs), docs
+    for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, table, sf_dir).write.parquet(f"{tmp_path}/{i}")
+        table = spark.read.parquet(f"{tmp_path}/{i}")
+        assert table.columns == (docs.columns if name != "packing" else ["doc_id", "chunk", "n_tokens", "sequence", "offset"])
+    run = corpus_pipeline.run(spark, sf_dir).collect()
+    assert {r.doc_id for r in run} == {r.doc_id for r in table.collect()} and {1, 6, 11} <= {r.doc_id for r in run}
+    # Whole documents: nothing of the long one is cut off.
+    assert sum(r.n_tokens for r in run if r.doc_id == 6) > 100_000
+
+
+def test_no_documents_give_no_rows(spark, tmp_path):
+    assert corpus_pipeline.run(spark, written(spark, tmp_path / "none", empty(spark))).collect() == []
