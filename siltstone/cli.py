@@ -9,7 +9,6 @@ import time
 from pyspark.sql import SparkSession
 
 from siltstone.config import IndexConfig, SearchOptions, parse_field_spec
-from siltstone.operators.build import build_index
 from siltstone.sources import store
 
 
@@ -45,7 +44,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             listed = lambda x: tuple(s.strip() for s in x.split(",")) if x else None
             config = IndexConfig(tuple(map(parse_field_spec, said.fields.split(","))), id_column=said.id, store_fields=listed(said.store), tags_field=said.tags, fuzzy=not said.no_fuzzy)
             began = time.perf_counter()
-            made = store.save(build_index(store.read_documents(spark, said.documents), config), said.out).first()
+            made = store.save_documents_index(store.read_documents(spark, said.documents), config, said.out).first()
             print(f"{made.docs} documents, {made.features} features, {made.postings} postings, {made.correction_deletes} deletions; {_size(store.index_bytes(spark, said.out))} in {time.perf_counter() - began:.1f} s")
         elif said.command == "query":
             engine = store.load_index(spark, said.index)

@@ -1,8 +1,9 @@
 """Building an index: documents -> weighted features -> postings, pruned by document frequency, and typo deletions.
 
-The documents are partitioned by their ordinal once; features, first-occurrence rules and score sums are all local
+The documents are range-sorted by their ordinal once; features, first-occurrence rules and score sums are all local
 to a document, so no exploded row is shuffled. Only document-frequency counts, combined before the shuffle, and the
-final sort of the postings are.
+final sort of the postings are. What is summed and which occurrence is first are kept as plain numbers, so that the
+aggregations stay hash aggregations in generated code.
 """
 
 from __future__ import annotations
@@ -22,6 +23,11 @@ from siltstone.sources.scratch import Scratch
 BROADCAST_FEATURES = 500_000
 
 
+def lookup_options(column: str) -> dict[str, str]:
+    """Writer options: a bloom filter on the column that lookups test, and row groups small enough for a lookup to skip most of a file."""
+    return {f"parquet.bloom.filter.enabled#{column}": "true", "parquet.bloom.filter.adaptive.enabled": "true", "parquet.block.size": str(16 << 20)}
+
+
 @dataclass
 class Index:
     """docs(doc_ord, id, fields, tags, signal_compact, signal_ascii, gate_compact, gate_ascii), postings(ftype, term, doc_ord, score),
@@ -88,9 +94,9 @@ def floor_score(weight: Column, factor: float, least: int = 0) -> Column:
 
 
 def emitted(documents: DataFrame, config: IndexConfig) -> DataFrame:
-    """(doc_ord, ftype, term, scope, score, pos, width, valid): every emission of every channel.
+    """(doc_ord, ftype, term, scope, score, place): every emission of every channel.
 
-    Channels that count once per field (joins of a window, Han bigrams) have its scope, others the scope -1.
+    Channels that count once per field (joins of a window, Han bigrams) have its scope, others the scope -1. place: of a window, see document_features().
     """
     parts = _parts(documents, config).withColumn("norm", X.normalize_text("text")).withColumn("tokens", X.tokens_of("norm")).where("size(tokens) > 0")
     short = lambda c, least: F.when((F.length(c) >= least) & (F.length(c) <= 32), c)
@@ -106,42 +112,53 @@ def emitted(documents: DataFrame, config: IndexConfig) -> DataFrame:
     rows = rows.select("*", *(F.coalesce(X.has_two_units(f"t{k}"), F.lit(False)).alias(f"two{k}") for k in range(len(names))), X.is_ascii_token("t0").alias("ascii0"), (X.is_han_char("t0") & X.is_han_char("t1")).alias("han"))
 
     def unit(ftype: int, term: Column, score: Column, once: bool = False, width: int = 0, valid: Column | None = None) -> Column:
-        return F.struct(F.lit(ftype).cast("tinyint").alias("ftype"), term.alias("term"), (F.col("scope") if once else F.lit(-1)).alias("scope"), score.alias("score"), F.col("pos").alias("pos"), F.lit(width).alias("width"), (valid if valid is not None else F.lit(True)).alias("valid"))
+        place = F.lit(0).cast("long") if not width else F.shiftleft(F.col("pos").cast("long"), 5) + F.lit(2 * width) + (F.lit(0) if valid is None else F.when(valid, 0).otherwise(1))
+        return F.struct(F.lit(ftype).cast("tinyint").alias("ftype"), term.alias("term"), (F.col("scope") if once else F.lit(-1)).alias("scope"), score.alias("score"), place.alias("place"))
 
     w, t0 = F.col("weight"), F.col("t0")
     two = F.col("two0")
     plain = two & F.col("ascii0")
     found = [unit(EXACT, F.when(two, t0), w)]
     found += [unit(PREFIX, F.when(plain & (F.length(t0) >= k), F.substring(t0, 1, k)), floor_score(w, 0.4, 6)) for k in (2, 3, 4)]
-    found.append(unit(HAN, F.when(F.col("han") & whole, F.concat("t0", "t1")), floor_score(w, 0.22, 4), once=True))
     text, valid = t0, F.lit(True)
     for k in range(1, most + 1):
         if k > 1:
             last = F.col(f"t{k - 1}")
             text, valid = F.concat(text, last), valid & F.col(f"two{k - 1}")
         fits = (F.col("window") >= k) & (F.length(text) >= 3) & (F.length(text) <= 12)
-        found.append(unit(JOIN, F.when(fits, text), floor_score(w, 1.02 - (k - 1) * 0.16, 8), once=True, width=k, valid=valid))
+        found.append(unit(JOIN, F.when(fits, text), w, once=True, width=k, valid=valid))
+    pair = unit(HAN, F.concat("t0", "t1"), floor_score(w, 0.22, 4), once=True)
     first = F.col("pos") == 0
     joined, compact = F.col("joined"), F.col("compact")
-    found.append(unit(SIGNAL, F.when(first, joined), floor_score(w, 1.28)))
-    found += [unit(PREFIX, F.when(first & (F.length(joined) >= k), F.substring(joined, 1, k)), floor_score(w, 0.56, 6)) for k in (2, 3, 4)]
-    found.append(unit(JOIN, F.when(first, compact), floor_score(w, 1.08)))
-    grams = [unit(ASCII_GRAM, F.when(first & (F.length(joined) <= 12) & (F.length(joined) >= i + 1), F.substring(joined, i, 2)), floor_score(w, 0.16, 4)) for i in range(1, 12)]
-    every = F.when(first, F.array(*found, *grams)).otherwise(F.array(*found[: len(found) - 5]))
-    return rows.select("doc_ord", F.explode(every).alias("f")).select("doc_ord", "f.*").where("term is not null")
+    wholes = [unit(SIGNAL, joined, floor_score(w, 1.28))]
+    wholes += [unit(PREFIX, F.when(F.length(joined) >= k, F.substring(joined, 1, k)), floor_score(w, 0.56, 6)) for k in (2, 3, 4)]
+    wholes.append(unit(JOIN, compact, floor_score(w, 1.08)))
+    wholes += [unit(ASCII_GRAM, F.when((F.length(joined) <= 12) & (F.length(joined) >= i + 1), F.substring(joined, i, 2)), floor_score(w, 0.16, 4)) for i in range(1, 12)]
+    none = F.lit([]).cast("array<struct<ftype:tinyint,term:string,scope:int,score:double,place:bigint>>")
+    every = F.concat(F.array(*found), F.when(F.col("han") & whole, F.array(pair)).otherwise(none), F.when(first & (joined.isNotNull() | compact.isNotNull()), F.array(*wholes)).otherwise(none))
+    return rows.select("doc_ord", F.inline(every)).where("term is not null")
+
+
+def _window_weights(config: IndexConfig) -> Column:
+    """The weight of a scope: of its field, or of a tag."""
+    out = F.lit(TAG_WEIGHT)
+    for i, s in enumerate(config.fields):
+        out = F.when(F.col("scope") == i, F.lit(float(s.weight))).otherwise(out)
+    return out
 
 
 def document_features(documents: DataFrame, config: IndexConfig) -> DataFrame:
     """(doc_ord, ftype, term, score): each document's features with their summed, capped scores as DOUBLE.
 
     Of a window's join only the first occurrence in the field counts, and it only if it is of several tokens, all but the first
-    of two units, and five characters long.
+    of two units, and five characters long. A place holds position, width and, in its last bit, whether the window is invalid.
     """
-    per_scope = emitted(documents, config).groupBy("doc_ord", "ftype", "term", "scope").agg(F.sum("score").alias("total"), F.min(F.struct("pos", "width", "valid", "score")).alias("first"))
-    first = F.col("first")
+    per_scope = emitted(documents, config).groupBy("doc_ord", "ftype", "term", "scope").agg(F.sum("score").alias("total"), F.min("place").alias("place"), F.min("score").alias("one"))
+    width, invalid = F.shiftright(F.col("place").bitwiseAND(F.lit(30)), 1), F.col("place").bitwiseAND(F.lit(1))
     window = (F.col("ftype") == JOIN) & (F.col("scope") >= 0)
-    counts = (first["width"] > 1) & first["valid"] & (F.length("term") >= 5)
-    score = F.when(F.col("scope") < 0, F.col("total")).when(window, F.when(counts, first["score"])).otherwise(first["score"])
+    counts = (width > 1) & (invalid == 0) & (F.length("term") >= 5)
+    joined = F.greatest(F.lit(8.0), F.floor(_window_weights(config) * (F.lit(1.02) - (width - 1) * F.lit(0.16)) + F.lit(0.5)).cast("double"))
+    score = F.when(F.col("scope") < 0, F.col("total")).when(window, F.when(counts, joined)).otherwise(F.col("one"))
     sums = per_scope.select("doc_ord", "ftype", "term", score.alias("score")).where("score is not null")
     return sums.groupBy("doc_ord", "ftype", "term").agg(F.least(F.sum("score"), F.lit(float(SCORE_CAP))).alias("score"))
 
@@ -197,8 +214,7 @@ def build_index(documents: DataFrame, config: IndexConfig, scratch: Scratch | No
     placed, n_docs = with_ordinals(documents, config.order_by, scratch)
     docs = scratch.write(with_signals(placed, config), "docs")
 
-    spread = placed.repartition(scratch.partitions, "doc_ord")
-    raw = scratch.write(document_features(spread, config), "raw", partition_by=["ftype"])
+    raw = scratch.write(document_features(placed.repartition(scratch.partitions, "doc_ord"), config), "raw", partition_by=["ftype"])
     raw = raw.select("doc_ord", F.col("ftype").cast("tinyint").alias("ftype"), "term", "score")
     counted = scratch.write(raw.groupBy("ftype", "term").agg(F.count("*").cast("int").alias("df"), F.max("score").alias("top_score")), "counted")
     noise = is_noise(n_docs, config.noise_df_cutoff)
@@ -209,8 +225,10 @@ def build_index(documents: DataFrame, config: IndexConfig, scratch: Scratch | No
     scores = raw.join(pruned, ["ftype", "term"], "left_anti").select("ftype", "term", "doc_ord", F.floor("score").cast("int").alias("score"))
     # Ranges over all three columns: a term of very many documents is split over several files, each sorted by term.
     order = ["ftype", "term", "doc_ord"]
-    postings = scratch.write(scores.repartitionByRange(scratch.partitions, *order).sortWithinPartitions(*order), "postings", partition_by=["ftype"])
-    deletes = scratch.write(correction_deletes(kept, config.top_weight) if config.fuzzy else spark.createDataFrame([], "deletion string, ftype tinyint, term string, df int"), "deletes")
-    features = scratch.write(kept.select("ftype", "term", "df"), "features")
+    postings = scratch.write(scores.repartitionByRange(scratch.partitions, *order).sortWithinPartitions(*order), "postings", partition_by=["ftype"], **lookup_options("term"))
+    # Sorted by what they are looked up by, so that a filter on a few terms reads a few row groups.
+    wrong = correction_deletes(kept, config.top_weight) if config.fuzzy else spark.createDataFrame([], "deletion string, ftype tinyint, term string, df int")
+    deletes = scratch.write(wrong.repartitionByRange(scratch.partitions, "deletion", "ftype", "term").sortWithinPartitions("deletion"), "deletes", **lookup_options("deletion"))
+    features = scratch.write(kept.select("ftype", "term", "df").repartitionByRange(scratch.partitions, "ftype", "term").sortWithinPartitions("ftype", "term"), "features", **lookup_options("term"))
     scratch.release("raw", "ordered", "counted")
     return Index(config, docs, postings.select(F.col("ftype").cast("tinyint").alias("ftype"), "term", "doc_ord", "score"), features, deletes, n_docs)

@@ -23,11 +23,71 @@ def haystack(*columns: str) -> Column:
     return F.lower(F.concat_ws(" ", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns)))
 
 
+#: Queries whose needles go into one automaton; more of them take further passes over the texts.
+QUERIES_PER_PASS = 100_000
+
+
+def _truth_of(rows: list[tuple[int, list[str]]]):
+    """(doc, text) batches -> (query_id, doc_id) for the texts that hold all needles of a query, each text read once whatever their number."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        needles = sorted({n for _, own in rows for n in own})
+        wanted: dict[str, list[int]] = {}
+        for i, (_, own) in enumerate(rows):
+            for n in set(own):
+                wanted.setdefault(n, []).append(i)
+        sizes = [len(set(own)) for _, own in rows]
+        free = [i for i, n in enumerate(sizes) if not n or "" in rows[i][1] and n == 1]
+        try:
+            import ahocorasick
+        except ImportError:
+            ahocorasick = None
+        words = [n for n in needles if n]
+        if ahocorasick and words:
+            automaton = ahocorasick.Automaton()
+            for n in words:
+                automaton.add_word(n, n)
+            automaton.make_automaton()
+            found_in = lambda text: {n for _, n in automaton.iter(text)}
+        else:
+            found_in = lambda text: {n for n in words if n in text}
+        for batch in batches:
+            queries, docs = [], []
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                seen: dict[int, int] = {}
+                for n in found_in(text or "") | ({""} & wanted.keys()):
+                    for i in wanted[n]:
+                        seen[i] = seen.get(i, 0) + 1
+                hit = [i for i, k in seen.items() if k == sizes[i]] + [i for i in free if i not in seen]
+                queries += [rows[i][0] for i in hit]
+                docs += [doc] * len(hit)
+            yield pa.RecordBatch.from_arrays([pa.array(queries, pa.int64()), pa.array(docs, batch.column(0).type)], names=["query_id", "doc_id"])
+
+    return run
+
+
 def substring_truth(documents: DataFrame, id_column: str, hay: Column, queries: DataFrame) -> DataFrame:
-    """(query_id, doc_id): the documents whose text holds all of a query's needles; queries(query_id, needles ARRAY<STRING>) are broadcast."""
+    """(query_id, doc_id): the documents whose text holds all of a query's needles, letter case aside; queries(query_id, needles ARRAY<STRING>).
+
+    A query without needles holds for every document. The needles are read by the driver, QUERIES_PER_PASS queries at a time, and each pass
+    runs one automaton of all of them over the texts: there is no join of texts with queries.
+    """
     texts = documents.select(F.col(id_column).alias("doc_id"), hay.alias("_hay"))
-    holds = F.forall("needles", lambda n: F.contains(F.col("_hay"), F.lower(n)))
-    return texts.join(F.broadcast(queries.select("query_id", "needles")), holds).select("query_id", "doc_id")
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    lowered = queries.where("needles is not null").select(F.col("query_id").cast("long"), F.transform("needles", F.lower))
+    out, rows = None, []
+
+    def passed(out: DataFrame | None, rows: list) -> DataFrame:
+        more = texts.mapInArrow(_truth_of(rows), f"query_id long, doc_id {kind}")
+        return more if out is None else out.union(more)
+
+    for r in lowered.toLocalIterator():
+        rows.append((r[0], list(r[1])))
+        if len(rows) == QUERIES_PER_PASS:
+            out, rows = passed(out, rows), []
+    return passed(out, rows) if rows or out is None else out
 
 
 def recall(hits: DataFrame, truth: DataFrame, limit: int) -> DataFrame:
@@ -115,26 +175,35 @@ def inject_typo(word: str, rng: Mulberry32) -> str:
     return word if at == len(word) - 1 else word[:at] + word[at + 1] + word[at] + word[at + 2 :]
 
 
-def query_mix(documents: DataFrame, count: int, seed: int = 0xDEADBEEF, rows: int = SAMPLED_ROWS, order_by: str | None = None) -> list[dict]:
+def query_mix(documents: DataFrame, count: int, seed: int = 0xDEADBEEF, rows: int = SAMPLED_ROWS, order_by: str | None = None, hay: Column | None = None) -> list[dict]:
     """generate_queries() on a sample of at most rows of documents(title, body), those of the least hash, with the title frequencies of all documents.
 
-    order_by: the column that orders the sample, and that is hashed with the seed.
+    Of what is generated only queries that some document of the whole table holds, by hay, are in the mix. order_by: the column that orders the sample, and that is hashed with the seed.
     """
+    spark = documents.sparkSession
     key = F.col(order_by) if order_by else F.xxhash64("title", "body")
     sample = [r.asDict() for r in documents.select("title", "body", key.alias("_key")).orderBy(F.xxhash64(F.lit(seed), "_key"), "_key").limit(rows).collect()]
     wanted = sorted({w for d in sample for w in ascii_words(d["title"] or "")})
     words = F.filter(F.split(F.regexp_replace(F.lower("title"), r"[^a-z0-9\s]", " "), r"\s+"), lambda w: F.length(w) >= 3)
     found = documents.select(F.explode(F.array_distinct(words)).alias("word")).groupBy("word").count()
-    side = documents.sparkSession.createDataFrame([(w,) for w in wanted], "word string")
-    return generate_queries(sample, count, seed, {r["word"]: r["count"] for r in found.join(F.broadcast(side), "word").collect()})
+    side = spark.createDataFrame([(w,) for w in wanted], "word string")
+    tried = generate_queries(sample, count, seed, {r["word"]: r["count"] for r in found.join(F.broadcast(side), "word").collect()}, spare=2)
+    if not tried:
+        return tried
+    needles = spark.createDataFrame([(q["query_id"], q["needles"]) for q in tried], "query_id long, needles array<string>")
+    held = {r.query_id for r in substring_truth(documents.withColumn("_one", F.lit(1)), "_one", hay if hay is not None else haystack("title", "body"), needles).select("query_id").distinct().collect()}
+    out: list[dict] = []
+    for kind, share in SHARES.items():
+        out += [q for q in tried if q["kind"] == kind and q["query_id"] in held][: int(count * share)]
+    return [q | {"query_id": i} for i, q in enumerate(out)]
 
 
-def generate_queries(documents: list[dict], count: int, seed: int = 0xDEADBEEF, frequency: dict[str, int] | None = None) -> list[dict]:
+def generate_queries(documents: list[dict], count: int, seed: int = 0xDEADBEEF, frequency: dict[str, int] | None = None, spare: int = 1) -> list[dict]:
     """A mix of queries from a sample of documents with title and body, each with the needles that its truth must hold.
 
     SHARES of count: single words, word pairs, typos (with the word they were made of as truth), Han pairs, longer runs, code symbols,
     prefixes and rare words. A kind that the documents can't give in four times its number of attempts comes out short. frequency: in
-    how many titles a word is; without it, that of the given documents.
+    how many titles a word is; without it, that of the given documents. spare: up to so many times the queries, for those that turn out to have no truth.
     """
     rng, out = Mulberry32(seed), []
     if not documents:
@@ -188,7 +257,7 @@ def generate_queries(documents: list[dict], count: int, seed: int = 0xDEADBEEF,
     for kind, share in SHARES.items():
         want, made = int(count * share), 0
         for _ in range(4 * want):
-            if made == want:
+            if made == spare * want:
                 break
             got = one(kind)
             if got:

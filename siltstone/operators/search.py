@@ -1,12 +1,19 @@
 """Searching an index with a table of queries: one plan for the whole batch.
 
 Queries become probes of features. The anchor probes' hits decide by query whether the noisy bigram and the typo channels
-are needed. All probes meet the postings in one broadcast join; scores are exact integers (posting score times a multiplier in
+are needed. All probes meet the postings in one join; scores are exact integers (posting score times a multiplier in
 hundredths), so their sums don't depend on the order of rows. Documents then pass the gate, get their boosts, and are ranked.
+
+Analysis, probes, direct hits and typo candidates are settled one after the other, so that no later plan expands them again. Of a batch whose
+probes are few by count they are local rows: they are broadcast, and their terms are pushed into the scans, which then read the row groups that
+hold them. A larger batch writes them to the shared folder and joins by shuffle.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -15,10 +22,15 @@ from siltstone.config import ASCII_GRAM, EXACT, HAN, JOIN, PREFIX, SIGNAL, Searc
 from siltstone.functions import highlight as H
 from siltstone.functions import text as X
 from siltstone.operators.build import Index
+from siltstone.sources.scratch import Scratch
 
 MOST_BITS, MOST_FUZZY = 31, 12
-#: Query and probe tables up to this many rows are broadcast, else joined by shuffle.
+#: Probes of a batch, counted from above, up to which its tables are local and broadcast; else they are written and joined by shuffle.
 BROADCAST_ROWS = 200_000
+#: Terms up to which they go into the filter of a scan, and how many go into one list: Parquet tests longer ones by their least and greatest only.
+PUSHED_TERMS, PUSHED_LIST = 1_000, 10
+#: Characters of the longest term that has deletions in an index.
+LONGEST_CORRECTED = 14
 #: Where each channel's probes begin in firing order.
 COMPACT_AT, GRAM_AT, JOINED_GRAM_AT, FUZZY_AT = 1_000_000, 2_000_000, 2_500_000, 3_000_000
 PROBE = "struct<probe_ord:int,ftype:tinyint,term:string,mult:int,bit:int,points:int,anchor:boolean>"
@@ -64,21 +76,58 @@ def probes(q: DataFrame) -> DataFrame:
     return q.select("query_id", F.inline(F.concat(tokens, whole, signal, pairs, ascii_pairs)))
 
 
-def _side(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+class Batch:
+    """How a batch of queries is carried out: small ones with local tables, large ones with written ones."""
+
+    def __init__(self, queries: DataFrame):
+        self.spark = queries.sparkSession
+        size = queries.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("units")).first()
+        # Each character begins at most four probes, and a query has a few of its own.
+        self.rows, self.most = size.n, 4 * size.units + 12 * size.n
+        self.small = self.most <= BROADCAST_ROWS
+        self.scratch = None if self.small else Scratch(self.spark, "search")
+
+    def settled(self, df: DataFrame, name: str) -> DataFrame:
+        return self.spark.createDataFrame(df.toArrow()) if self.small else self.scratch.write(df, name)
+
+    def side(self, df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if self.small else df
+
+    def looked_up(self, table: DataFrame, wanted: DataFrame, column: str, by_type: bool = True) -> DataFrame:
+        """table with a filter on the wanted rows' terms, where these are few; it keeps every row that a join with them would."""
+        if not self.small:
+            return table
+        terms: dict[int, set[str]] = {}
+        for r in wanted.select(F.col("ftype") if by_type else F.lit(0).alias("ftype"), column).distinct().collect():
+            terms.setdefault(r[0], set()).add(r[1])
+        if sum(map(len, terms.values())) > PUSHED_TERMS:
+            return table
+        if not terms:
+            return table.where("false")
+
+        def within(own: set[str]) -> Column:
+            listed = sorted(own)
+            return reduce(or_, [F.col(column).isin(listed[i : i + PUSHED_LIST]) for i in range(0, len(listed), PUSHED_LIST)])
+
+        if not by_type:
+            return table.where(within(terms[0]))
+        return table.where(F.col("ftype").isin(sorted(terms)) & reduce(or_, [(F.col("ftype") == F.lit(t).cast("tinyint")) & within(own) for t, own in sorted(terms.items())]))
 
 
-def fuzzy_candidates(index: Index, weak: DataFrame, rows: int) -> DataFrame:
+def fuzzy_candidates(index: Index, weak: DataFrame, batch: Batch) -> DataFrame:
     """(query_id, call, from, ftype, term, df, del_ord, distance, rank): accepted indexed terms near the queries' terms, at most MOST_FUZZY a call."""
     ascii_tokens = F.filter("tokens", X.is_ascii_token)
     last = F.try_element_at(ascii_tokens, F.lit(-1))
     joined, compact = F.col("joined"), F.col("compact")
     first_call = F.struct(F.lit(0).alias("call"), F.when(joined != "", joined).otherwise(compact).alias("from"))
     second_call = F.struct(F.lit(1).alias("call"), F.when(last.isNotNull() & (last != joined), last).alias("from"))
-    calls = weak.select("query_id", F.inline(F.array(first_call, second_call))).where(F.length("from") >= 3)
+    # Terms in the table are of at most LONGEST_CORRECTED characters, and accepted ones within two of the word.
+    calls = weak.select("query_id", F.inline(F.array(first_call, second_call))).where(F.length("from").between(3, LONGEST_CORRECTED + 2))
     own = F.concat(F.array("from"), X.deletions("from", F.length("from") >= 6))
     wanted = calls.select("query_id", "call", "from", F.posexplode(own).alias("del_ord", "deletion"))
-    met = index.deletes.join(_side(wanted, rows * 100), "deletion").groupBy("query_id", "call", "from", "ftype", "term", "df").agg(F.min("del_ord").alias("del_ord"))
+    wanted = batch.settled(wanted, "deletions")
+    entries = batch.looked_up(index.deletes, wanted, "deletion", by_type=False)
+    met = entries.join(batch.side(wanted), "deletion").groupBy("query_id", "call", "from", "ftype", "term", "df").agg(F.min("del_ord").alias("del_ord"))
     term, said = F.col("term"), F.col("from")
     near = met.where((F.abs(F.length(term) - F.length(said)) <= 2) & (F.substring(term, 1, 1) == F.substring(said, 1, 1)) & (X.bigram_overlap(term, said) >= 0.34))
     most = F.when(F.length(term) > 6, 2).otherwise(1)
@@ -141,27 +190,27 @@ class SearchEngine:
 
     def candidates(self, queries: DataFrame | str | list[str], options: SearchOptions = SearchOptions()) -> tuple[DataFrame, DataFrame]:
         """(query_id, ref_index, doc_ord, score_cents and the document's columns) of the best options.candidates, and the corrections."""
-        index = self.index
-        q = analyzed(as_queries(self.spark, queries))
-        rows = q.count()
-        q = _side(q, rows)
-        plain = probes(q)
-        found = plain.where("anchor").join(index.features.select("ftype", "term"), ["ftype", "term"], "left_semi") if rows > BROADCAST_ROWS else index.features.select("ftype", "term").join(F.broadcast(plain.where("anchor")), ["ftype", "term"])
-        direct = found.groupBy("query_id").agg(F.sum("points").alias("direct"))
-        weak = q.join(_side(direct.where("direct >= 2").select("query_id"), rows), "query_id", "left_anti")
-        fuzzy = fuzzy_candidates(index, weak, rows)
+        index, queries = self.index, as_queries(self.spark, queries)
+        batch = Batch(queries)
+        q = batch.settled(analyzed(queries), "analyzed")
+        plain = batch.settled(probes(q), "probes")
+        anchors = plain.where("anchor")
+        found = batch.looked_up(index.features.select("ftype", "term"), anchors, "term").join(batch.side(anchors), ["ftype", "term"])
+        direct = batch.settled(found.groupBy("query_id").agg(F.sum("points").alias("direct")), "direct")
+        weak = batch.settled(q.join(batch.side(direct.where("direct >= 2").select("query_id")), "query_id", "left_anti"), "weak")
+        fuzzy = batch.settled(fuzzy_candidates(index, weak, batch), "fuzzy")
         typo = fuzzy.select("query_id", (F.col("call") * 1000 + F.col("rank") + FUZZY_AT).cast("int").alias("probe_ord"), "ftype", "term", F.when(F.col("distance") == 1, 64).otherwise(42).alias("mult"), F.lit(-1).alias("bit"), F.lit(0).alias("points"), F.lit(True).alias("anchor"))
-        noise = plain.where("not anchor").join(_side(weak.select("query_id"), rows), "query_id", "left_semi")
-        every = plain.where("anchor").unionByName(noise).unionByName(typo)
-        hits = index.postings.join(_side(every, rows * 20), ["ftype", "term"])
+        noise = plain.where("not anchor").join(batch.side(weak.select("query_id")), "query_id", "left_semi")
+        every = batch.settled(anchors.unionByName(noise).unionByName(typo), "every")
+        hits = batch.looked_up(index.postings, every, "term").join(batch.side(every), ["ftype", "term"])
         bit = F.when(F.col("bit") >= 0, F.expr("shiftleft(1L, bit)")).otherwise(F.lit(0).cast("long"))
         touched = hits.groupBy("query_id", "doc_ord").agg(F.sum(F.col("score").cast("long") * F.col("mult")).alias("e2"), F.bool_or("anchor").alias("anchored"), F.bit_or(bit).alias("bits"), F.min("probe_ord").alias("first"))
 
         near = fuzzy.where(F.length("term") >= 2).groupBy("query_id").agg(F.collect_set("term").alias("near"))
         strong = F.filter(F.concat("long_tokens", F.array(F.when(F.length("compact") >= 2, F.col("compact")), F.when((F.length("joined") >= 3) & (F.col("joined") != F.col("compact")), F.col("joined"))), F.coalesce("near", F.lit([]).cast("array<string>"))), lambda a: a.isNotNull())
-        side = q.join(near, "query_id", "left").select("query_id", "compact", "joined", "terms", F.size("tokens").alias("n_tokens"), strong.alias("strong"))
+        side = batch.settled(q.join(near, "query_id", "left").select("query_id", "compact", "joined", "terms", F.size("tokens").alias("n_tokens"), strong.alias("strong")), "side")
         docs = index.docs.where(options.prefilter) if options.prefilter is not None else index.docs
-        scored = touched.join(docs.select("doc_ord", "signal_compact", "signal_ascii", "gate_compact", "gate_ascii"), "doc_ord").join(_side(side, rows), "query_id")
+        scored = touched.join(docs.select("doc_ord", "signal_compact", "signal_ascii", "gate_compact", "gate_ascii"), "doc_ord").join(batch.side(side), "query_id")
         passes = F.col("anchored") | F.exists("strong", lambda a: F.contains("gate_compact", a) | F.contains("gate_ascii", a))
         boost = F.when((F.length("compact") >= 3) & F.contains("signal_compact", F.col("compact")), 10_000).otherwise(0) + F.when((F.length("joined") >= 3) & F.contains("signal_ascii", F.col("joined")), 12_500).otherwise(0)
         scored = scored.where(passes).select("query_id", "doc_ord", "first", "n_tokens", (F.col("e2") + boost).alias("e2"), F.size("terms").alias("n"), _covered(F.col("terms")).alias("covered"))
@@ -178,7 +227,9 @@ class SearchEngine:
         top = scored.select("query_id", "doc_ord", "first", e4.alias("e4")).withColumn("place", F.row_number().over(best)).where(F.col("place") <= options.candidates)
         cents = F.expr("(e4 + 50) div 100")
         ranked = top.select("query_id", "doc_ord", (F.col("place") - 1).alias("ref_index"), cents.alias("score_cents"))
-        return ranked.join(docs.select("doc_ord", "id", "fields", "tags"), "doc_ord"), corrections_of(fuzzy)
+        if batch.rows * options.candidates <= BROADCAST_ROWS:
+            ranked = F.broadcast(ranked)
+        return docs.select("doc_ord", "id", "fields", "tags").join(ranked, "doc_ord"), corrections_of(fuzzy)
 
     def _run(self, queries, options: SearchOptions) -> tuple[DataFrame, DataFrame]:
         hits, corrections = self.candidates(queries, options)
@@ -196,35 +247,47 @@ class SearchEngine:
         hits = hits.where(F.col("rank") <= options.limit)
         names = list(options.highlight_fields if options.highlight_fields is not None else self.index.config.store_fields)
         if options.highlight and names:
-            q = as_queries(self.spark, queries).select("query_id", H.highlight_needles(F.trim("text")).alias("needles"))
-            hits = hits.join(q, "query_id").withColumn("matches", H.field_matches("fields", names, "needles"))
+            texts = as_queries(self.spark, queries)
+            batch = Batch(texts)
+            q = batch.settled(texts.select("query_id", H.highlight_needles(F.trim("text")).alias("needles")), "needles")
+            hits = hits.join(batch.side(q), "query_id").withColumn("matches", H.field_matches("fields", names, "needles"))
         else:
             hits = hits.withColumn("matches", F.lit([]).cast(f"array<struct<field:string,ranges:{H.RANGES}>>"))
         return hits.select("query_id", "rank", "doc_ord", "id", "score", "ref_index", "fields", "tags", "matches"), corrections
 
     def suggest(self, prefixes: DataFrame | str | list[str], options: SuggestOptions = SuggestOptions()) -> DataFrame:
         """(query_id, rank, term, doc_frequency, kind, distance): completions by frequency, or near beginnings where nothing begins so."""
-        spark, index = self.spark, self.index
-        p = as_queries(spark, prefixes).select("query_id", F.lower(F.trim(F.coalesce("text", F.lit("")))).alias("prefix")).where(X.is_ascii_token("prefix"))
-        rows = p.count()
-        p = _side(p, rows)
-        terms = index.features.where(F.col("ftype") == EXACT).select("term", "df")
+        texts = as_queries(self.spark, prefixes)
+        batch = Batch(texts)
+        p = batch.settled(texts.select("query_id", F.lower(F.trim(F.coalesce("text", F.lit("")))).alias("prefix")).where(X.is_ascii_token("prefix")), "prefixes")
+        terms = self.index.features.where(F.col("ftype") == EXACT).select("term", "df")
+        begun = terms
+        if batch.small and 0 < p.count() <= PUSHED_TERMS // PUSHED_LIST:
+            begun = terms.where(reduce(or_, [F.col("term").startswith(r.prefix) for r in p.collect()]))
         prefix, term = F.col("prefix"), F.col("term")
-        # An equi-join on the beginnings of the terms that are as long as some prefix, not a test of every pair.
+        # An equi-join on the beginnings of the terms that are as long as some prefix, not a test of every pair. There are as many sizes as kinds of length.
         sizes = F.broadcast(p.select(F.length("prefix").alias("size")).distinct())
-        starts = terms.join(sizes, F.length("term") >= F.col("size")).select("term", "df", F.substring("term", F.lit(1), F.col("size")).alias("prefix"))
-        whole = starts.join(p, "prefix")
+        starts = begun.join(sizes, F.length("term") >= F.col("size")).select("term", "df", F.substring("term", F.lit(1), F.col("size")).alias("prefix"))
+        whole = starts.join(batch.side(p), "prefix")
         order = Window.partitionBy("query_id").orderBy(F.desc(term == prefix), F.desc("df"), F.length(term), term)
         found = whole.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= options.limit)
         found = found.select("query_id", "rank", "term", F.col("df").alias("doc_frequency"), F.lit("prefix").alias("kind"), F.lit(None).cast("int").alias("distance"))
         if not options.fuzzy:
             return found
+        found = batch.settled(found, "begun")
         n = F.length(prefix)
-        missed = p.join(_side(found.select("query_id").distinct(), rows), "query_id", "left_anti").where(n >= 3)
-        near = terms.join(missed, (F.substring(term, 1, 1) == F.substring(prefix, 1, 1)) & (F.length(term) >= n - 1))
-        most = F.when(n >= 6, 2).otherwise(1)
-        cut = near.select("query_id", "term", "df", "prefix", most.alias("most"), F.substring(term, F.lit(1), n).alias("short"), F.substring(term, F.lit(1), n + 1).alias("long"))
-        distances = cut.withColumn("distance", F.least(X.osa_distance("short", "prefix", "most"), X.osa_distance("long", "prefix", "most"))).where("distance <= most")
+        missed = batch.settled(p.join(batch.side(found.select("query_id").distinct()), "query_id", "left_anti").where(n >= 3), "missed")
+        # Strings within so many edits share one that is as many deletions away from each. Terms are cut to the lengths that are compared, and each cut is tested once.
+        lengths = F.broadcast(missed.select(F.substring(prefix, 1, 1).alias("letter"), n.alias("n")).distinct())
+        cuts = terms.join(lengths, (F.substring(term, 1, 1) == F.col("letter")) & (F.length(term) >= F.col("n") - 1))
+        cuts = cuts.select("term", "df", "n", F.explode(F.array_distinct(F.array(F.substring(term, F.lit(1), F.col("n")), F.substring(term, F.lit(1), F.col("n") + 1)))).alias("cut"))
+        own = lambda c, size: F.explode(F.concat(F.array(c), X.deletions(c, size >= 6))).alias("deletion")
+        keys = cuts.select("cut", "n").distinct().select("cut", "n", own(F.col("cut"), F.col("n")))
+        wanted = missed.select("query_id", "prefix", n.alias("n"), own(prefix, n))
+        pairs = keys.join(batch.side(wanted), ["n", "deletion"]).where(F.substring("cut", 1, 1) == F.substring(prefix, 1, 1)).select("query_id", "prefix", "n", "cut").distinct()
+        most = F.when(F.col("n") >= 6, 2).otherwise(1)
+        close = pairs.withColumn("distance", X.osa_distance("cut", "prefix", most)).where(F.col("distance") <= most)
+        distances = cuts.join(close, ["cut", "n"]).groupBy("query_id", "term", "df").agg(F.min("distance").alias("distance"))
         order = Window.partitionBy("query_id").orderBy("distance", F.desc("df"), "term")
         fuzzy = distances.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= options.limit)
         return found.unionByName(fuzzy.select("query_id", "rank", "term", F.col("df").alias("doc_frequency"), F.lit("fuzzy").alias("kind"), "distance"))

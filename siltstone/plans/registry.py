@@ -12,7 +12,7 @@ from siltstone.config import ASCII_GRAM, EXACT, HAN, JOIN, PREFIX, SIGNAL, Highl
 from siltstone.functions import highlight as H
 from siltstone.functions import text as X
 from siltstone.operators import build, evaluate
-from siltstone.operators.search import SearchEngine, fuzzy_candidates, rewritten
+from siltstone.operators.search import Batch, SearchEngine, fuzzy_candidates, rewritten
 from siltstone.operators.search import analyzed as analyze
 from siltstone.plans import duck
 from siltstone.sources import corpora, store
@@ -29,6 +29,8 @@ TYPOS = ["apahce", "wrothless", "licnese", "relased", "threheed"]
 GIBBERISH = ["qqqqqqqqqq", "xkcdqwzj", "1111111健康的那jdnwadjanda", "x", "  ", "健"]
 SUGGESTED = ["app", "lic", "wor", "th", "zzz", "a b", "the"]
 MISTYPED = ["licens3", "apahc", "trahs", "worthlezs"]
+GOODS = ["brand", "part 12", "brnad"]
+MARKED = ((4, 8), (0, 2), (7, 10), (30, 31))
 HAN_TEXTS = ["微博热搜榜 hot list", "二维码 qr 码", "翻译 文本 翻译", "abc 微", ""]
 
 _engines: dict[tuple[str, str], SearchEngine] = {}
@@ -42,10 +44,6 @@ def engine(spark: SparkSession, sf_dir: str) -> SearchEngine:
     return _engines[key]
 
 
-def without_fuzzy(e: SearchEngine) -> SearchEngine:
-    return SearchEngine(replace(e.index, deletes=e.index.deletes.limit(0)))
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -54,13 +52,12 @@ def _hits(hits: DataFrame) -> DataFrame:
     return hits.select("query_id", F.col("rank").cast("long"), F.col("id").alias("doc_id"), "score")
 
 
-def _searched(texts: list[str], fuzzy: bool = False, **options) -> Query:
+def _searched(texts: list[str], **options) -> Query:
     """options: those of SearchOptions; a Column is given as a function, for it can only be made in a session."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        e = engine(spark, sf_dir)
         made = {k: v() if callable(v) else v for k, v in options.items()}
-        return _hits((e if fuzzy else without_fuzzy(e)).search(texts, SearchOptions(highlight=False, **made)))
+        return _hits(engine(spark, sf_dir).search(texts, SearchOptions(highlight=False, **made)))
 
     return run
 
@@ -119,8 +116,8 @@ def _listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Save the index, load it, search: the answers of the index itself."""
     root = Scratch(spark, "round-trip").root
-    store.save(without_fuzzy(engine(spark, sf_dir)).index, root)
-    return _hits(store.load_index(spark, root).search(SINGLE, SearchOptions(highlight=False)))
+    store.save(engine(spark, sf_dir).index, root)
+    return _hits(store.load_index(spark, root).search([*SINGLE, *TYPOS], SearchOptions(highlight=False)))
 
 
 def _detailed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,7 +128,7 @@ def _detailed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _fuzzy_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = engine(spark, sf_dir)
     texts = spark.createDataFrame(list(enumerate(TYPOS)), "query_id long, text string")
-    return fuzzy_candidates(e.index, analyze(texts), len(TYPOS)).select("query_id", "call", "from", F.col("ftype").cast("int"), "term", "df", "del_ord", "distance", "rank")
+    return fuzzy_candidates(e.index, analyze(texts), Batch(texts)).select("query_id", "call", "from", F.col("ftype").cast("int"), "term", "df", "del_ord", "distance", "rank")
 
 
 def _rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,17 +157,26 @@ def _highlighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("query_id", "rank", "id", H.render_hit("fields", "matches", "title", HighlightOptions(tag="em", class_name="hit")).alias("html"), F.to_json("matches").alias("matches"))
 
 
+def _ranged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranges = F.array(*(F.struct(F.lit(a).alias("start"), F.lit(b).alias("end")) for a, b in MARKED))
+    return corpora.conversations(spark, sf_dir).select("turn_id", "text", ranges.alias("ranges"))
+
+
+def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The turns' pieces, for components that render them on their own."""
+    return _ranged(spark, sf_dir).select("turn_id", F.posexplode(H.highlight_segments("text", "ranges")).alias("piece", "x")).select("turn_id", "piece", "x.highlighted", "x.text")
+
+
 def _marked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each turn of the conversations with fixed, overlapping ranges."""
-    ranges = F.array(*(F.struct(F.lit(a).alias("start"), F.lit(b).alias("end")) for a, b in ((4, 8), (0, 2), (7, 10), (30, 31))))
-    c = corpora.conversations(spark, sf_dir).where(F.length("text") >= 40).select("turn_id", "text", ranges.alias("ranges"))
+    """Each turn of the conversations with fixed, overlapping ranges; those past the end of a text are clamped."""
+    c = _ranged(spark, sf_dir)
     merged = F.array_join(F.transform(H.merge_ranges("ranges"), lambda r: F.concat(r["start"].cast("string"), F.lit("-"), r["end"].cast("string"))), ",")
     return c.select("turn_id", merged.alias("merged"), H.render_highlights("text", "ranges").alias("html"))
 
 
 def _needles(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return b.select("item_id", F.array_join(F.array_sort(H.highlight_needles("text")), " ").alias("needles"))
+    return b.select("item_id", F.array_join(H.highlight_needles("text"), " ").alias("needles"))
 
 
 def _truth(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,7 +185,7 @@ def _truth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = without_fuzzy(engine(spark, sf_dir)).search([*SINGLE, *MULTI], SearchOptions(highlight=False))
+    hits = engine(spark, sf_dir).search([*SINGLE, *MULTI], SearchOptions(highlight=False))
     hits = hits.select("query_id", "rank", F.col("id").cast("long").alias("doc_id"))
     return evaluate.recall(hits, _truth(spark, sf_dir), 10).select("query_id", F.round("recall", 6).alias("recall"))
 
@@ -213,7 +219,7 @@ def _pages_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _parts_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _hits(SearchEngine(build.build_index(corpora.parts(spark, sf_dir), corpora.PARTS)).search(["brand", "part 12"], SearchOptions(highlight=False)))
+    return _hits(SearchEngine(build.build_index(corpora.parts(spark, sf_dir), corpora.PARTS)).search(GOODS, SearchOptions(highlight=False)))
 
 
 def _text(table: str, key: str, column: str, **made) -> Query:
@@ -246,6 +252,14 @@ def _values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("o_orderkey", X.value_text("v", kind["v"]).alias("joined"), X.value_text("whole", kind["whole"]).alias("whole"))
 
 
+def _value_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Maps and truth values as text."""
+    t = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    d = t.select("o_orderkey", F.create_map(F.lit("a"), "o_orderstatus", F.lit("b"), "o_orderpriority").alias("m"), (F.col("o_totalprice") > 150_000).alias("b"))
+    kind = dict((f.name, f.dataType) for f in d.schema.fields)
+    return d.select("o_orderkey", X.value_text("m", kind["m"]).alias("mapped"), X.value_text("b", kind["b"]).alias("flagged"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "normalize_documents": _text("documents", "doc_id", "text", normalized=X.normalize_text),
@@ -257,8 +271,9 @@ def queries() -> dict[str, Query]:
         "token_bigrams": _parts(grams=lambda: F.array_join(X.grams(F.lower("p_name"), 2, 3), "|")),
         "bigram_overlap_parts": _parts(overlap=lambda: F.round(X.bigram_overlap(F.lower("p_name"), F.lower("p_type")), 6)),
         "osa_distance_parts": _osa,
-        "delete_variants": _parts(one=lambda: F.array_join(X.deletions("p_brand"), "|"), two=lambda: F.size(X.deletions("p_brand", True)).cast("long")),
+        "delete_variants": _parts(one=lambda: F.array_join(X.deletions("p_brand"), "|"), two=lambda: F.array_join(X.deletions("p_brand", F.length("p_brand") >= 6), "|")),
         "field_value_text": _values,
+        "value_kinds": _value_kinds,
         "escape_html": _text("pages", "page_id", "html", escaped=H.escape_html),
         "format_units": _parts(size=lambda: X.format_bytes(F.col("p_partkey") * 977), time=lambda: X.format_ms(F.col("p_partkey") / 8), varint=lambda: X.varint_size(F.col("p_partkey") * F.col("p_partkey")).cast("long")),
         "exact_postings": _channel(EXACT),
@@ -284,7 +299,7 @@ def queries() -> dict[str, Query]:
         "search_rescored": _searched(SINGLE, rescore=lambda: F.col("score") + F.col("doc_ord") % 7 * 10),
         "search_prefiltered": _searched(SINGLE, prefilter=lambda: F.array_contains("tags", "en")),
         "search_limited": _searched([*SINGLE, *MULTI], limit=3, min_score_ratio=0.5),
-        "search_fuzzy": _searched(TYPOS, fuzzy=True),
+        "search_fuzzy": _searched(TYPOS),
         "search_gibberish": _gibberish,
         "fuzzy_candidates": _fuzzy_terms,
         "did_you_mean": _detailed,
@@ -293,6 +308,7 @@ def queries() -> dict[str, Query]:
         "suggest_fuzzy": _suggested(MISTYPED, SuggestOptions()),
         "highlight_hits": _highlighted,
         "render_ranges": _marked,
+        "highlight_segments": _segments,
         "highlight_needles": _needles,
         "substring_truth": _truth,
         "recall_at_10": _recall,
