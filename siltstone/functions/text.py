@@ -77,8 +77,10 @@ def _longer(text: Column) -> Column:
 
 @cache
 def _longer_class() -> str:
+    """What has a longer form. The ranges are many and tested one by one, so characters of one byte are told apart from them first."""
     _, _, longer = decomposition()
-    return f"[{_ranges(sorted([*map(ord, longer), *HANGUL]))}]"
+    points = sorted([*map(ord, longer), *HANGUL])
+    return f"[{_ranges([p for p in points if p < 256])}[[^\\x00-\\xff]&&[{_ranges([p for p in points if p >= 256])}]]]"
 
 
 def fold(text: Column | str) -> Column:

@@ -1,15 +1,20 @@
 """Building an index: documents -> weighted features -> postings, pruned by document frequency, and typo deletions.
 
 The documents are range-sorted by their ordinal once; features, first-occurrence rules and score sums are all local
-to a document, so no exploded row is shuffled. Only document-frequency counts, combined before the shuffle, and the
-final sort of the postings are. What is summed and which occurrence is first are kept as plain numbers, so that the
-aggregations stay hash aggregations in generated code.
+to a document, so texts aren't shuffled again, nor any exploded row. Only document-frequency counts, combined before the shuffle, and the
+final sort of the postings are.
 """
 
 from __future__ import annotations
 
+import math
+import re
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,6 +26,9 @@ from siltstone.sources.scratch import Scratch
 
 #: Pruned features up to this many are broadcast, else joined by shuffle.
 BROADCAST_FEATURES = 500_000
+#: Features after which a batch of them is handed over.
+EMITTED_ROWS = 100_000
+TOKENS = re.compile(X.TOKEN)
 
 
 def lookup_options(column: str) -> dict[str, str]:
@@ -79,88 +87,118 @@ def tags_of(documents: DataFrame, config: IndexConfig) -> Column:
 
 
 def _parts(documents: DataFrame, config: IndexConfig) -> DataFrame:
-    """(doc_ord, scope, weight, window, url, text): one row per field and tag with a text; scope numbers them within the document."""
-    fields = [
-        F.struct(F.lit(i).alias("scope"), F.lit(float(s.weight)).alias("weight"), F.lit(s.join_window).alias("window"), F.lit(s.kind == URL).alias("url"), X.value_text(f"`{s.name}`", documents.schema[s.name].dataType).alias("text"))
-        for i, s in enumerate(config.fields)
-    ]
-    tags = F.transform(tags_of(documents, config), lambda t, i: F.struct((i + len(fields)).alias("scope"), F.lit(TAG_WEIGHT).alias("weight"), F.lit(3).alias("window"), F.lit(False).alias("url"), t.alias("text")))
-    return documents.select("doc_ord", F.explode(F.concat(F.array(*fields), tags)).alias("x")).select("doc_ord", "x.*").where("text <> ''")
+    """(doc_ord, parts): the normalised texts of each document's fields and tags, with weight, window and whether it is a URL."""
+    part = lambda text, weight, window, url: F.struct(F.lit(float(weight)).alias("weight"), F.lit(window).alias("window"), F.lit(url).alias("url"), X.normalize_text(text).alias("text"))
+    fields = [part(X.value_text(f"`{s.name}`", documents.schema[s.name].dataType), s.weight, s.join_window, s.kind == URL) for s in config.fields]
+    tags = F.transform(tags_of(documents, config), lambda t: part(t, TAG_WEIGHT, 3, False))
+    return documents.select("doc_ord", F.concat(F.array(*fields), tags).alias("parts"))
 
 
-def floor_score(weight: Column, factor: float, least: int = 0) -> Column:
+def rounded(weight: float, factor: float, least: float = 0.0) -> float:
     """weight * factor, rounded half up, at least so much."""
-    return F.greatest(F.lit(float(least)), F.floor(weight * F.lit(factor) + F.lit(0.5)).cast("double"))
+    return max(least, float(math.floor(weight * factor + 0.5)))
 
 
-def emitted(documents: DataFrame, config: IndexConfig) -> DataFrame:
-    """(doc_ord, ftype, term, scope, score, place): every emission of every channel.
+def _several(text: str) -> bool:
+    """Two UTF-16 units at least."""
+    return len(text) > 1 or text > "\uffff"
 
-    Channels that count once per field (joins of a window, Han bigrams) have its scope, others the scope -1. place: of a window, see document_features().
+
+def features_of(parts: list[dict]) -> dict[int, dict[str, float]]:
+    """Feature type -> term -> score of one document, of parts (weight, window, url, text) in order.
+
+    Scores are sums over a document's tokens, capped. A join of a window counts once in its part, where it occurs first and only if it
+    is of several tokens there, all but the first of two units, and five characters long; a Han bigram counts once in its part.
     """
-    parts = _parts(documents, config).withColumn("norm", X.normalize_text("text")).withColumn("tokens", X.tokens_of("norm")).where("size(tokens) > 0")
-    short = lambda c, least: F.when((F.length(c) >= least) & (F.length(c) <= 32), c)
-    whole = ~F.col("url")
-    parts = parts.select("doc_ord", "scope", "weight", "window", "url", "tokens", F.when(whole, short(X.ascii_tokens_join("tokens"), 3)).alias("joined"), F.when(whole, short(X.compact_of("norm"), 3)).alias("compact"))
-    most = max(s.join_window for s in config.fields) if not config.tags_field else max(3, *(s.join_window for s in config.fields))
-    shifted = F.arrays_zip(*[F.col("tokens") if k == 0 else F.slice("tokens", F.lit(k + 1), F.greatest(F.size("tokens") - k, F.lit(0))).alias(f"t{k}") for k in range(max(most, 2))])
-    keep = ["doc_ord", "scope", "weight", "window", "url", "joined", "compact"]
-    rows = parts.select(*keep, F.posexplode(shifted).alias("pos", "z"))
-    names = rows.schema["z"].dataType.fieldNames()
-    rows = rows.select(*keep, "pos", *(F.col("z")[n].alias(f"t{k}") for k, n in enumerate(names)))
-    # Each token's tests once, below the generator.
-    rows = rows.select("*", *(F.coalesce(X.has_two_units(f"t{k}"), F.lit(False)).alias(f"two{k}") for k in range(len(names))), X.is_ascii_token("t0").alias("ascii0"), (X.is_han_char("t0") & X.is_han_char("t1")).alias("han"))
-
-    def unit(ftype: int, term: Column, score: Column, once: bool = False, width: int = 0, valid: Column | None = None) -> Column:
-        place = F.lit(0).cast("long") if not width else F.shiftleft(F.col("pos").cast("long"), 5) + F.lit(2 * width) + (F.lit(0) if valid is None else F.when(valid, 0).otherwise(1))
-        return F.struct(F.lit(ftype).cast("tinyint").alias("ftype"), term.alias("term"), (F.col("scope") if once else F.lit(-1)).alias("scope"), score.alias("score"), place.alias("place"))
-
-    w, t0 = F.col("weight"), F.col("t0")
-    two = F.col("two0")
-    plain = two & F.col("ascii0")
-    found = [unit(EXACT, F.when(two, t0), w)]
-    found += [unit(PREFIX, F.when(plain & (F.length(t0) >= k), F.substring(t0, 1, k)), floor_score(w, 0.4, 6)) for k in (2, 3, 4)]
-    text, valid = t0, F.lit(True)
-    for k in range(1, most + 1):
-        if k > 1:
-            last = F.col(f"t{k - 1}")
-            text, valid = F.concat(text, last), valid & F.col(f"two{k - 1}")
-        fits = (F.col("window") >= k) & (F.length(text) >= 3) & (F.length(text) <= 12)
-        found.append(unit(JOIN, F.when(fits, text), w, once=True, width=k, valid=valid))
-    pair = unit(HAN, F.concat("t0", "t1"), floor_score(w, 0.22, 4), once=True)
-    first = F.col("pos") == 0
-    joined, compact = F.col("joined"), F.col("compact")
-    wholes = [unit(SIGNAL, joined, floor_score(w, 1.28))]
-    wholes += [unit(PREFIX, F.when(F.length(joined) >= k, F.substring(joined, 1, k)), floor_score(w, 0.56, 6)) for k in (2, 3, 4)]
-    wholes.append(unit(JOIN, compact, floor_score(w, 1.08)))
-    wholes += [unit(ASCII_GRAM, F.when((F.length(joined) <= 12) & (F.length(joined) >= i + 1), F.substring(joined, i, 2)), floor_score(w, 0.16, 4)) for i in range(1, 12)]
-    none = F.lit([]).cast("array<struct<ftype:tinyint,term:string,scope:int,score:double,place:bigint>>")
-    every = F.concat(F.array(*found), F.when(F.col("han") & whole, F.array(pair)).otherwise(none), F.when(first & (joined.isNotNull() | compact.isNotNull()), F.array(*wholes)).otherwise(none))
-    return rows.select("doc_ord", F.inline(every)).where("term is not null")
-
-
-def _window_weights(config: IndexConfig) -> Column:
-    """The weight of a scope: of its field, or of a tag."""
-    out = F.lit(TAG_WEIGHT)
-    for i, s in enumerate(config.fields):
-        out = F.when(F.col("scope") == i, F.lit(float(s.weight))).otherwise(out)
+    out: dict[int, dict[str, float]] = {t: {} for t in (EXACT, PREFIX, SIGNAL, JOIN, HAN, ASCII_GRAM)}
+    exact, prefix, signal, join, han, gram = (out[t] for t in (EXACT, PREFIX, SIGNAL, JOIN, HAN, ASCII_GRAM))
+
+    def add(scores: dict[str, float], term: str, score: float) -> None:
+        scores[term] = scores.get(term, 0.0) + score
+
+    for part in parts:
+        w, url, tokens = part["weight"], part["url"], TOKENS.findall(part["text"])
+        begin = rounded(w, 0.4, 6)
+        for t, n in Counter(tokens).items():
+            if not _several(t):
+                continue
+            if w == int(w):
+                add(exact, t, w * n)
+            else:  # added as often as it occurs, for the sum is rounded at each step
+                for _ in range(n):
+                    add(exact, t, w)
+            if t.isascii():
+                for k in range(2, min(4, len(t)) + 1):
+                    add(prefix, t[:k], begin * n)
+        seen, last = set(), len(tokens)
+        by_width = [0.0, *(rounded(w, 1.02 - k * 0.16, 8) for k in range(part["window"]))]
+        for i in range(last):
+            text, valid = "", True
+            for width in range(1, min(part["window"], last - i) + 1):
+                t = tokens[i + width - 1]
+                text += t
+                if width > 1 and not _several(t):
+                    valid = False
+                size = len(text)
+                if size > 12:
+                    break
+                if size < 3 or text in seen:
+                    continue
+                seen.add(text)
+                if width > 1 and valid and size >= 5:
+                    add(join, text, by_width[width])
+        if url:
+            continue
+        compact = part["text"].replace(" ", "")
+        if 3 <= len(compact) <= 32:
+            add(join, compact, rounded(w, 1.08))
+        joined = ""
+        for t in tokens:
+            if t.isascii():
+                joined += t
+                if len(joined) > 32:
+                    break
+        if 3 <= len(joined) <= 32:
+            add(signal, joined, rounded(w, 1.28))
+            for k in range(2, min(4, len(joined)) + 1):
+                add(prefix, joined[:k], rounded(w, 0.56, 6))
+            if len(joined) <= 12:
+                for i in range(len(joined) - 1):
+                    add(gram, joined[i : i + 2], rounded(w, 0.16, 4))
+        if not part["text"].isascii():
+            single = [len(t) == 1 and "\u3400" <= t <= "\u9fff" for t in tokens]
+            for pair in {tokens[i] + tokens[i + 1] for i in range(last - 1) if single[i] and single[i + 1]}:
+                add(han, pair, rounded(w, 0.22, 4))
     return out
 
 
+def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ords, kinds, terms, scores = [], [], [], []
+        for doc, parts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for ftype, own in features_of(parts).items():
+                terms += own
+                scores += own.values()
+                kinds += [ftype] * len(own)
+                ords += [doc] * len(own)
+            if len(terms) > EMITTED_ROWS:
+                yield _features(ords, kinds, terms, scores)
+                ords, kinds, terms, scores = [], [], [], []
+        yield _features(ords, kinds, terms, scores)
+
+
+def _features(ords: list, kinds: list, terms: list, scores: list) -> pa.RecordBatch:
+    capped = np.minimum(np.array(scores, float), float(SCORE_CAP))
+    return pa.RecordBatch.from_arrays([pa.array(ords, pa.int64()), pa.array(kinds, pa.int8()), pa.array(terms, pa.string()), pa.array(capped)], names=["doc_ord", "ftype", "term", "score"])
+
+
 def document_features(documents: DataFrame, config: IndexConfig) -> DataFrame:
     """(doc_ord, ftype, term, score): each document's features with their summed, capped scores as DOUBLE.
 
-    Of a window's join only the first occurrence in the field counts, and it only if it is of several tokens, all but the first
-    of two units, and five characters long. A place holds position, width and, in its last bit, whether the window is invalid.
+    The texts are normalised by built-in expressions; their features are summed in one Arrow pass, document by document. As expressions, the
+    exploded emissions and their two aggregations took some twenty times the CPU, and a shuffle.
     """
-    per_scope = emitted(documents, config).groupBy("doc_ord", "ftype", "term", "scope").agg(F.sum("score").alias("total"), F.min("place").alias("place"), F.min("score").alias("one"))
-    width, invalid = F.shiftright(F.col("place").bitwiseAND(F.lit(30)), 1), F.col("place").bitwiseAND(F.lit(1))
-    window = (F.col("ftype") == JOIN) & (F.col("scope") >= 0)
-    counts = (width > 1) & (invalid == 0) & (F.length("term") >= 5)
-    joined = F.greatest(F.lit(8.0), F.floor(_window_weights(config) * (F.lit(1.02) - (width - 1) * F.lit(0.16)) + F.lit(0.5)).cast("double"))
-    score = F.when(F.col("scope") < 0, F.col("total")).when(window, F.when(counts, joined)).otherwise(F.col("one"))
-    sums = per_scope.select("doc_ord", "ftype", "term", score.alias("score")).where("score is not null")
-    return sums.groupBy("doc_ord", "ftype", "term").agg(F.least(F.sum("score"), F.lit(float(SCORE_CAP))).alias("score"))
+    return _parts(documents, config).mapInArrow(_emit, "doc_ord long, ftype tinyint, term string, score double")
 
 
 def with_signals(documents: DataFrame, config: IndexConfig) -> DataFrame:
@@ -214,7 +252,7 @@ def build_index(documents: DataFrame, config: IndexConfig, scratch: Scratch | No
     placed, n_docs = with_ordinals(documents, config.order_by, scratch)
     docs = scratch.write(with_signals(placed, config), "docs")
 
-    raw = scratch.write(document_features(placed.repartition(scratch.partitions, "doc_ord"), config), "raw", partition_by=["ftype"])
+    raw = scratch.write(document_features(placed, config), "raw", partition_by=["ftype"])
     raw = raw.select("doc_ord", F.col("ftype").cast("tinyint").alias("ftype"), "term", "score")
     counted = scratch.write(raw.groupBy("ftype", "term").agg(F.count("*").cast("int").alias("df"), F.max("score").alias("top_score")), "counted")
     noise = is_noise(n_docs, config.noise_df_cutoff)
