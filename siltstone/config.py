@@ -80,12 +80,12 @@ class IndexConfig:
 
 @dataclass(frozen=True)
 class SearchOptions:
-    """keep: a condition on the hit columns, tested after the candidates are ranked; rescore: a new score from the hit
+    """keep: a condition on the hit columns, or a function that gives the hits to keep, applied after the candidates are ranked; rescore: a new score from the hit
     columns; prefilter: a condition on the documents (doc_ord, id, fields, tags), tested before ranking."""
 
     limit: int = 10
     min_score_ratio: float = 0.18
-    keep: Column | None = None
+    keep: Column | Callable[[DataFrame], DataFrame] | None = None
     rescore: Column | Callable[[DataFrame], DataFrame] | None = None
     prefilter: Column | None = None
     highlight_fields: Sequence[str] | None = None

@@ -5,12 +5,13 @@ from __future__ import annotations
 import re
 import time
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from siltstone.config import SearchOptions
+from siltstone.config import IndexConfig, SearchOptions
 from siltstone.operators.search import SearchEngine
 
 STOP_WORDS = frozenset("a an and are as at be but by can could did do does for from had has have he i if in is it its not of on or our should so than that the their them then there these they this those to us was we were will with would you your".split())
@@ -281,6 +282,50 @@ def run_batch(engine: SearchEngine, queries: DataFrame, passes: int = 3, options
     return {"queries": n, "seconds": middle, "stddev": statistics.stdev(seconds) if passes > 1 else 0.0, "queries_per_second": n / middle}
 
 
+@dataclass(frozen=True)
+class Budgets:
+    """Seconds beyond which a build, the first pass of a batch, or a query of a pass count as too slow to report."""
+
+    build: float = 120.0
+    warm_up: float = 20.0
+    query: float = 2.0
+
+
+def run_dataset(name: str, documents: DataFrame, config: IndexConfig, mix: list[dict], hay: Column, path: str, passes: int = 7, options: SearchOptions = SearchOptions(highlight=False), budgets: Budgets = Budgets()) -> dict:
+    """A row of the report: build, warm up, time whole passes of the mix, and its recall; None for what a budget left out.
+
+    A build over its budget leaves out all that follows; a warm-up or a pass over it the times and the recall.
+    """
+    import statistics
+
+    from siltstone.sources import store
+
+    spark = documents.sparkSession
+    row = dict.fromkeys(("build_s", "index_bytes", "seconds", "stddev", "queries_per_second", "recall"))
+    began = time.perf_counter()
+    store.save_documents_index(documents, config, path)
+    row = {"dataset": name, "docs": documents.count(), "queries": len(mix)} | row | {"build_s": time.perf_counter() - began, "index_bytes": store.index_bytes(spark, path)}
+    if row["build_s"] > budgets.build or not mix:
+        return row
+    engine = store.load_index(spark, path)
+    queries = spark.createDataFrame([(q["query_id"], q["text"]) for q in mix], "query_id long, text string")
+    seconds = []
+    for i in range(passes + 1):
+        began = time.perf_counter()
+        engine.search(queries, options).write.format("noop").mode("overwrite").save()
+        took = time.perf_counter() - began
+        if took > (budgets.query * len(mix) if i else budgets.warm_up):
+            return row
+        if i:
+            seconds.append(took)
+    middle = statistics.median(seconds)
+    needles = spark.createDataFrame([(q["query_id"], q["needles"]) for q in mix], "query_id long, needles array<string>")
+    truth = substring_truth(documents.select(F.col(config.id_column).cast("string").alias("id"), hay.alias("hay")), "id", F.col("hay"), needles)
+    hits = engine.search(queries, options).select("query_id", "rank", F.col("id").alias("doc_id"))
+    found = recall(hits, truth, options.limit).agg(F.avg("recall")).first()[0]
+    return row | {"seconds": middle, "stddev": statistics.stdev(seconds) if len(seconds) > 1 else 0.0, "queries_per_second": len(mix) / middle, "recall": found}
+
+
 def render_table(rows: list[dict], columns: Sequence[str], show: Callable[[object], str] = lambda v: "N/A" if v is None else f"{v:.3f}" if isinstance(v, float) else str(v)) -> str:
     """Markdown of rows; what a row lacks is N/A."""
     lines = [columns, ["---"] * len(columns), *([show(r.get(c)) for c in columns] for r in rows)]

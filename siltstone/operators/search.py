@@ -234,7 +234,9 @@ class SearchEngine:
     def _run(self, queries, options: SearchOptions) -> tuple[DataFrame, DataFrame]:
         hits, corrections = self.candidates(queries, options)
         hits = hits.withColumn("score", F.col("score_cents") / 100)
-        if options.keep is not None:
+        if callable(options.keep) and not isinstance(options.keep, Column):
+            hits = options.keep(hits)
+        elif options.keep is not None:
             hits = hits.where(options.keep)
         if callable(options.rescore) and not isinstance(options.rescore, Column):
             hits = options.rescore(hits)

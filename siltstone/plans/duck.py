@@ -300,6 +300,7 @@ def queries() -> dict[str, str]:
         "df_prune": f"{INDEX} SELECT ft AS ftype, count(*) AS features, max(df) AS top_df FROM feats GROUP BY ft",
         "index_manifest": f"{INDEX} {STATS}",
         "pages_index": f"{index(PAGES, PAGE_PARTS, ('title', 'body'), ('title', 'link'))} {STATS}",
+        "pack_manifest": f"SELECT 'goods' AS name, * FROM ({index(GOODS.replace('p_type FROM part', f'substr(p_type, 1, 8) AS p_type FROM (SELECT * FROM part ORDER BY p_partkey LIMIT {R.PACKED})'), GOOD_PARTS, ('p_name', 'p_brand', 'p_type'), ('p_name', 'p_brand', 'p_type'))} {STATS}) UNION ALL SELECT 'pages', * FROM ({index(PAGES, PAGE_PARTS, ('title', 'body'), ('title', 'link'))} {STATS})",
         "correction_deletes": f"{INDEX} SELECT deletion, ft AS ftype, term, df FROM dels",
         "docs_listing": f"WITH {DOCS} SELECT doc_ord, id, title, source, lang AS tags FROM docs0",
         "index_round_trip": search([*R.SINGLE, *R.TYPOS]),

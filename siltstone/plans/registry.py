@@ -16,6 +16,7 @@ from siltstone.operators.search import Batch, SearchEngine, fuzzy_candidates, re
 from siltstone.operators.search import analyzed as analyze
 from siltstone.plans import duck
 from siltstone.sources import corpora, store
+from siltstone.sources.packs import PackSpec, build_packs
 from siltstone.sources.scratch import Scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +31,8 @@ GIBBERISH = ["qqqqqqqqqq", "xkcdqwzj", "1111111健康的那jdnwadjanda", "x", "
 SUGGESTED = ["app", "lic", "wor", "th", "zzz", "a b", "the"]
 MISTYPED = ["licens3", "apahc", "trahs", "worthlezs"]
 GOODS = ["brand", "part 12", "brnad"]
+#: Goods in a pack of the first ones.
+PACKED = 150
 MARKED = ((4, 8), (0, 2), (7, 10), (30, 31))
 HAN_TEXTS = ["微博热搜榜 hot list", "二维码 qr 码", "翻译 文本 翻译", "abc 微", ""]
 
@@ -218,6 +221,12 @@ def _pages_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return build.build_index(corpora.pages(spark, sf_dir), corpora.PAGES).stats()
 
 
+def _packs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A set of two indexes: the first goods with their kind cut short, and the pages."""
+    specs = [PackSpec("goods", corpora.parts(spark, sf_dir), corpora.PARTS, limit=PACKED, trim={"p_type": 8}), PackSpec("pages", corpora.pages(spark, sf_dir), corpora.PAGES)]
+    return build_packs(spark, specs, Scratch(spark, "packs").root).select("name", "docs", "features", "postings", "correction_deletes")
+
+
 def _parts_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _hits(SearchEngine(build.build_index(corpora.parts(spark, sf_dir), corpora.PARTS)).search(GOODS, SearchOptions(highlight=False)))
 
@@ -318,6 +327,7 @@ def queries() -> dict[str, Query]:
         "generated_queries": _generated,
         "pages_index": _pages_index,
         "parts_search": _parts_search,
+        "pack_manifest": _packs,
     }
 
 

@@ -6,7 +6,6 @@ pruning is by segment. A micro-batch that is run again after a failure rewrites
 
 from __future__ import annotations
 
-import json
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -64,6 +63,3 @@ def load_segments(spark: SparkSession, path: str) -> SearchEngine:
     tables["deletes"] = tables["deletes"].drop("df").distinct().join(tables["features"], ["ftype", "term"]).select("deletion", "ftype", "term", "df")
     return SearchEngine(Index(first.config, **tables, n_docs=sum(i.n_docs for i in [first, *rest])))
 
-
-def describe(spark: SparkSession, path: str) -> str:
-    return json.dumps({n: spark.read.parquet(f"{path}/{n}/manifest").first().docs for n in segments(spark, path)})

@@ -4,6 +4,7 @@ import statistics
 
 from pyspark.sql import functions as F
 
+from siltstone.config import IndexConfig
 from siltstone.operators import evaluate as E
 
 
@@ -42,6 +43,26 @@ def test_queries_are_drawn_from_the_documents(spark):
     assert E.query_mix(table.limit(0), 10, order_by="doc_id") == []
 
 
+def test_a_dataset_is_reported_within_its_budgets(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"quick fox number{i}", f"alpha beta {i}") for i in range(40)], "doc_id long, title string, body string")
+    config = IndexConfig({"title": 5, "body": 1}, id_column="doc_id")
+    mix = [{"query_id": i, "text": t, "needles": [t]} for i, t in enumerate(("number7", "fox", "alpha"))]
+    hay = E.haystack("title", "body")
+    row = E.run_dataset("small", docs, config, mix, hay, f"{tmp_path}/a", passes=2, budgets=E.Budgets(600, 600, 600))
+    assert row["docs"] == 40 and row["recall"] == 1.0 and row["seconds"] > 0 and row["index_bytes"] > 0
+    slow = E.run_dataset("small", docs, config, mix, hay, f"{tmp_path}/b", budgets=E.Budgets(0.0))
+    assert slow["build_s"] > 0 and slow["seconds"] is None and "| N/A |" in E.render_table([slow], ["dataset", "seconds", "build_s"])
+    assert E.run_dataset("small", docs, config, mix, hay, f"{tmp_path}/c", budgets=E.Budgets(600, 0.0))["recall"] is None
+
+
+def test_truth_needs_every_needle(spark):
+    d = spark.createDataFrame([(1, "Red green"), (2, "redgreen blue"), (3, None), (4, "BLUE")], "id long, t string")
+    q = spark.createDataFrame([(1, ["red", "green"]), (2, ["Blue"]), (3, ["red", "red"]), (4, []), (5, None), (6, ["een b"])], "query_id long, needles array<string>")
+    found = sorted(map(tuple, E.substring_truth(d, "id", E.haystack("t"), q).collect()))
+    assert found == [(1, 1), (1, 2), (2, 2), (2, 4), (3, 1), (3, 2), (4, 1), (4, 2), (4, 3), (4, 4), (6, 2)]
+    assert E.substring_truth(d, "id", E.haystack("t"), q.limit(0)).collect() == []
+
+
 def test_helpers():
     assert E.fnv1a("") == 0x811C9DC5 and E.fnv1a("a") == 0xE40C292C
     rng = E.Mulberry32(1)
