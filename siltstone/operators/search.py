@@ -14,6 +14,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import or_
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -29,6 +30,7 @@ MOST_BITS, MOST_FUZZY = 31, 12
 BROADCAST_ROWS = 200_000
 #: Terms up to which they go into the filter of a scan, and how many go into one list: Parquet tests longer ones by their least and greatest only.
 PUSHED_TERMS, PUSHED_LIST = 1_000, 10
+FUZZY = pa.schema([("query_id", pa.int64()), ("call", pa.int32()), ("from", pa.string()), ("ftype", pa.int8()), ("term", pa.string()), ("df", pa.int32()), ("del_ord", pa.int32()), ("distance", pa.int32()), ("rank", pa.int32())])
 #: Characters of the longest term that has deletions in an index.
 LONGEST_CORRECTED = 14
 #: Where each channel's probes begin in firing order.
@@ -86,20 +88,29 @@ class Batch:
         self.rows, self.most = size.n, 4 * size.units + 12 * size.n
         self.small = self.most <= BROADCAST_ROWS
         self.scratch = None if self.small else Scratch(self.spark, "search")
+        self.tables: dict[str, pa.Table] = {}
 
     def settled(self, df: DataFrame, name: str) -> DataFrame:
-        return self.spark.createDataFrame(df.toArrow()) if self.small else self.scratch.write(df, name)
+        if not self.small:
+            return self.scratch.write(df, name)
+        self.tables[name] = df.toArrow()
+        return self.spark.createDataFrame(self.tables[name])
+
+    def is_empty(self, name: str) -> bool:
+        """Whether a settled table is known to be empty; of a large batch's none is."""
+        return self.small and not self.tables[name].num_rows
 
     def side(self, df: DataFrame) -> DataFrame:
         return F.broadcast(df) if self.small else df
 
-    def looked_up(self, table: DataFrame, wanted: DataFrame, column: str, by_type: bool = True) -> DataFrame:
-        """table with a filter on the wanted rows' terms, where these are few; it keeps every row that a join with them would."""
+    def looked_up(self, table: DataFrame, name: str, column: str, by_type: bool = True, anchors: bool = False) -> DataFrame:
+        """table with a filter on the terms of a settled table (or of its anchor probes), where these are few; it keeps every row that a join with it would."""
         if not self.small:
             return table
         terms: dict[int, set[str]] = {}
-        for r in wanted.select(F.col("ftype") if by_type else F.lit(0).alias("ftype"), column).distinct().collect():
-            terms.setdefault(r[0], set()).add(r[1])
+        for r in self.tables[name].to_pylist():
+            if not anchors or r["anchor"]:
+                terms.setdefault(r["ftype"] if by_type else 0, set()).add(r[column])
         if sum(map(len, terms.values())) > PUSHED_TERMS:
             return table
         if not terms:
@@ -126,7 +137,7 @@ def fuzzy_candidates(index: Index, weak: DataFrame, batch: Batch) -> DataFrame:
     own = F.concat(F.array("from"), X.deletions("from", F.length("from") >= 6))
     wanted = calls.select("query_id", "call", "from", F.posexplode(own).alias("del_ord", "deletion"))
     wanted = batch.settled(wanted, "deletions")
-    entries = batch.looked_up(index.deletes, wanted, "deletion", by_type=False)
+    entries = batch.looked_up(index.deletes, "deletions", "deletion", by_type=False)
     met = entries.join(batch.side(wanted), "deletion").groupBy("query_id", "call", "from", "ftype", "term", "df").agg(F.min("del_ord").alias("del_ord"))
     term, said = F.col("term"), F.col("from")
     near = met.where((F.abs(F.length(term) - F.length(said)) <= 2) & (F.substring(term, 1, 1) == F.substring(said, 1, 1)) & (X.bigram_overlap(term, said) >= 0.34))
@@ -195,14 +206,17 @@ class SearchEngine:
         q = batch.settled(analyzed(queries), "analyzed")
         plain = batch.settled(probes(q), "probes")
         anchors = plain.where("anchor")
-        found = batch.looked_up(index.features.select("ftype", "term"), anchors, "term").join(batch.side(anchors), ["ftype", "term"])
+        found = batch.looked_up(index.features.select("ftype", "term"), "probes", "term", anchors=True).join(batch.side(anchors), ["ftype", "term"])
         direct = batch.settled(found.groupBy("query_id").agg(F.sum("points").alias("direct")), "direct")
         weak = batch.settled(q.join(batch.side(direct.where("direct >= 2").select("query_id")), "query_id", "left_anti"), "weak")
-        fuzzy = batch.settled(fuzzy_candidates(index, weak, batch), "fuzzy")
+        fuzzy = self.spark.createDataFrame(FUZZY.empty_table()) if batch.is_empty("weak") else batch.settled(fuzzy_candidates(index, weak, batch), "fuzzy")
         typo = fuzzy.select("query_id", (F.col("call") * 1000 + F.col("rank") + FUZZY_AT).cast("int").alias("probe_ord"), "ftype", "term", F.when(F.col("distance") == 1, 64).otherwise(42).alias("mult"), F.lit(-1).alias("bit"), F.lit(0).alias("points"), F.lit(True).alias("anchor"))
-        noise = plain.where("not anchor").join(batch.side(weak.select("query_id")), "query_id", "left_semi")
-        every = batch.settled(anchors.unionByName(noise).unionByName(typo), "every")
-        hits = batch.looked_up(index.postings, every, "term").join(batch.side(every), ["ftype", "term"])
+        if batch.is_empty("weak"):
+            every = batch.settled(anchors, "every")
+        else:
+            noise = plain.where("not anchor").join(batch.side(weak.select("query_id")), "query_id", "left_semi")
+            every = batch.settled(anchors.unionByName(noise).unionByName(typo), "every")
+        hits = batch.looked_up(index.postings, "every", "term").join(batch.side(every), ["ftype", "term"])
         bit = F.when(F.col("bit") >= 0, F.expr("shiftleft(1L, bit)")).otherwise(F.lit(0).cast("long"))
         touched = hits.groupBy("query_id", "doc_ord").agg(F.sum(F.col("score").cast("long") * F.col("mult")).alias("e2"), F.bool_or("anchor").alias("anchored"), F.bit_or(bit).alias("bits"), F.min("probe_ord").alias("first"))
 
@@ -264,8 +278,8 @@ class SearchEngine:
         p = batch.settled(texts.select("query_id", F.lower(F.trim(F.coalesce("text", F.lit("")))).alias("prefix")).where(X.is_ascii_token("prefix")), "prefixes")
         terms = self.index.features.where(F.col("ftype") == EXACT).select("term", "df")
         begun = terms
-        if batch.small and 0 < p.count() <= PUSHED_TERMS // PUSHED_LIST:
-            begun = terms.where(reduce(or_, [F.col("term").startswith(r.prefix) for r in p.collect()]))
+        if batch.small and 0 < batch.tables["prefixes"].num_rows <= PUSHED_TERMS // PUSHED_LIST:
+            begun = terms.where(reduce(or_, [F.col("term").startswith(x) for x in batch.tables["prefixes"].column("prefix").to_pylist()]))
         prefix, term = F.col("prefix"), F.col("term")
         # An equi-join on the beginnings of the terms that are as long as some prefix, not a test of every pair. There are as many sizes as kinds of length.
         sizes = F.broadcast(p.select(F.length("prefix").alias("size")).distinct())
