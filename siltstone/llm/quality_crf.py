@@ -10,7 +10,7 @@ marginal is at least a half) comes back as run lengths.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,11 +18,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm import _features
-from siltstone.llm._scratch import doc_id
+from siltstone.llm._scratch import Scratch, doc_id
 from siltstone.llm.quality_rules import calibrated, first_half, labelled_sample
 
 #: The bound of the fit: labelled documents of each label that are trained and calibrated on, by least hash of doc_id.
 LABELLED_ROWS = 3_000
+#: Lines of that sample which the driver trains on by itself; more stay on the executors, since documents may be of any length.
+LOCAL_LINES = 200_000
+#: Lines, or one document's, that training has before it at once.
+CHUNK_LINES = 100_000
 EPOCHS, RATE, L2, MAX_GOOD_LOST = 150, 0.5, 1e-4, 0.003
 BASE = len(_features.LINE_FEATURES)
 
@@ -89,23 +93,46 @@ def document_quality(good: np.ndarray, length: np.ndarray, first: np.ndarray) ->
     return np.add.reduceat(good * length, first[:-1]) / np.maximum(weight, 1) * (weight > 0)
 
 
-def train(line: np.ndarray, first: np.ndarray, label: np.ndarray, epochs: int = EPOCHS) -> dict[str, np.ndarray]:
-    """Weights of the standardised features and of the transitions; label: each document's."""
-    mean, spread = line.mean(axis=0), line.std(axis=0) + 1e-3
-    x = neighbours((line - mean) / spread, first)
-    x = np.hstack([x, np.ones((len(x), 1))])
-    y = np.repeat(label, np.diff(first)).astype(float)
-    inside = np.ones(len(y), bool)
-    inside[first[1:] - 1] = False
-    seen = np.array([(y[inside] == 1).sum(), (y[inside] == 0).sum()], float)
-    weights, transition = np.zeros(x.shape[1]), np.zeros(2)
-    m, v, n = np.zeros(len(weights) + 2), np.zeros(len(weights) + 2), len(y)
+def inputs(line: np.ndarray, first: np.ndarray, standard: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Standardised features of lines and their neighbours, and a constant."""
+    x = neighbours((line - standard[0]) / standard[1], first)
+    return np.hstack([x, np.ones((len(x), 1))])
+
+
+def slope(x: np.ndarray, first: np.ndarray, label: np.ndarray, weights: np.ndarray, transition: np.ndarray) -> np.ndarray:
+    """The gradient of the log likelihood of documents, by the weights and by the transitions. label: each document's."""
+    good, expect, _ = marginals(x @ weights, first, transition)
+    return np.concatenate([x.T @ (np.repeat(label, np.diff(first)) - good), stays(first, label) - expect])
+
+
+def stays(first: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """How many pairs of neighbouring lines are both good, and both bad, where lines take their document's label."""
+    pairs = np.diff(first) - 1
+    return np.array([pairs[label].sum(), pairs[~label].sum()], float)
+
+
+def ascend(gradient: Callable[[np.ndarray, np.ndarray], np.ndarray], lines: int, epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and transitions after epochs steps up the gradient (of the sum over lines)."""
+    weights, transition = np.zeros(3 * BASE + 3), np.zeros(2)
+    m, v = np.zeros(len(weights) + 2), np.zeros(len(weights) + 2)
     for step in range(1, epochs + 1):
-        good, expect, _ = marginals(x @ weights, first, transition)
-        gradient = np.concatenate([x.T @ (y - good) / n - L2 * weights, (seen - expect) / n])
-        m, v = 0.9 * m + 0.1 * gradient, 0.99 * v + 0.01 * gradient**2
+        slope = gradient(weights, transition) / lines - L2 * np.append(weights, [0.0, 0.0])
+        m, v = 0.9 * m + 0.1 * slope, 0.99 * v + 0.01 * slope**2
         move = RATE * (1 - step / (epochs + 1)) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         weights, transition = weights + 0.2 * move[:-2], transition + 0.2 * move[-2:]
+    return weights, transition
+
+
+def train(total: Callable[..., np.ndarray], epochs: int = EPOCHS) -> dict[str, np.ndarray]:
+    """Weights of the standardised features and of the transitions.
+
+    total: sums a function of (line features, first lines, labels) over all documents; given a mean and spread, a function of inputs() in place of features.
+    """
+    sums = total(lambda line, first, label: np.append(line.sum(axis=0), len(line)))
+    n = sums[-1]
+    mean = sums[:-1] / n
+    spread = np.sqrt(total(lambda line, first, label: ((line - mean) ** 2).sum(axis=0)) / n) + 1e-3
+    weights, transition = ascend(lambda w, t: total(lambda x, first, label: slope(x, first, label, w, t), (mean, spread)), n, epochs)
     return {"mean": mean, "spread": spread, "weights": weights, "transition": transition}
 
 
@@ -131,31 +158,104 @@ def label_runs(good: np.ndarray, first: np.ndarray) -> list[str]:
     return [("" if g else "0,") + ",".join(told[a:b]) for a, b, g in zip(starts[:-1], starts[1:], good[first[:-1]])]
 
 
-def _measured(sample: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    lines, lengths, firsts, at = [], [], [np.zeros(1, np.int64)], 0
-    for _, _, (line, length, first, _) in _features.measured(pa.array([r[1] for r in sample], pa.string()), "lines"):
-        lines.append(line)
-        lengths.append(length)
-        firsts.append(first[1:] + at)
-        at += len(line)
-    return np.vstack(lines), np.concatenate(lengths), np.concatenate(firsts), np.array([r[2] > 0 for r in sample])
-
-
-def fit(documents: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> dict | None:
-    """A trained field and its threshold; None unless there are labelled rows of both kinds in both halves of the sample."""
-    found = []
-    for bad in (True, False):
-        own = labels.where(F.col("quality") <= 0 if bad else F.col("quality") > 0)
-        found += [(r._id, r.text, r.quality) for r in labelled_sample(documents, own, rows).collect()]
-    found.sort()
-    half = first_half(np.array([r[0] for r in found], np.int64), np.array([r[2] > 0 for r in found], bool))
-    halves = [[r for r, h in zip(found, half) if h], [r for r, h in zip(found, half) if not h]]
-    if any(len({r[2] > 0 for r in half}) < 2 for half in halves):
+def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(_id, text, quality) -> (id, good, n, lines): the lines' features and lengths as the bytes of a table of n rows."""
+    for batch in batches:
+        for a, b, (line, length, first, _) in _features.measured(batch.column(1), "lines"):
+            table = np.column_stack([line, length])
+            lines = pa.array([table[i:j].tobytes() for i, j in zip(first[:-1], first[1:])], pa.binary())
+            good = pa.array(np.asarray(batch.column(2).slice(a, b - a)) > 0)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), good, pa.array(np.diff(first), pa.int64()), lines], names=["id", "good", "n", "lines"])
+
+
+def _chunks(rows: Iterable[tuple[int, bool, bytes]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(ids, labels, line features, line lengths, first lines) of rows (id, good, lines), CHUNK_LINES or a document at a time."""
+
+    def joined(some: list) -> tuple:
+        tables = [np.frombuffer(r[2], float).reshape(-1, BASE + 1) for r in some]
+        table = np.vstack(tables)
+        first = np.cumsum([0, *map(len, tables)])
+        return np.array([r[0] for r in some], np.int64), np.array([r[1] for r in some], bool), table[:, :-1], table[:, -1], first
+
+    some, n = [], 0
+    for row in rows:
+        own = len(row[2]) // (8 * (BASE + 1))
+        if some and n + own > CHUNK_LINES:
+            yield joined(some)
+            some, n = [], 0
+        some.append(row)
+        n += own
+    if some:
+        yield joined(some)
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bool, bytes]]:
+    for batch in batches:
+        for i, (id_, good) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+            yield id_, good, batch.column(2)[i].as_py()
+
+
+def _here(rows: list[tuple[int, bool, bytes]]) -> Callable[..., np.ndarray]:
+    """Sums over the rows, for train()."""
+    own = [(line, first, good) for _, good, line, _, first in _chunks(rows)]
+    ready: list[tuple] = []
+
+    def total(function: Callable, standard: tuple | None = None) -> np.ndarray:
+        if standard and not ready:
+            ready.extend((inputs(line, first, standard), first, good) for line, first, good in own)
+        return np.sum([function(*chunk) for chunk in (ready if standard else own)], axis=0)
+
+    return total
+
+
+def _there(lines: DataFrame) -> Callable[..., np.ndarray]:
+    """Sums over the documents of the table, for train(), each chunk where it lies: one row a task goes to the driver."""
+
+    def total(function: Callable, standard: tuple | None = None) -> np.ndarray:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found = [function(inputs(line, first, standard) if standard else line, first, good) for _, good, line, _, first in _chunks(_rows(batches))]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([np.sum(found, axis=0).tolist()], pa.list_(pa.float64()))], names=["sums"])
+
+        return np.sum([r.sums for r in lines.mapInArrow(run, "sums array<double>").collect()], axis=0)
+
+    return total
+
+
+def fit(documents: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS, epochs: int = EPOCHS) -> dict | None:
+    """A trained field and its threshold; None unless there are labelled rows of both kinds in both halves of the sample.
+
+    Texts stay where they are read. Of the sample the driver sees ids, labels and numbers of lines, then qualities; the lines' features
+    only if they are at most LOCAL_LINES lines, otherwise each epoch is a job over them.
+    """
+    spark = documents.sparkSession
+    bad, good = (labelled_sample(documents, labels.where(own), rows).select("_id", "text", F.col("quality").cast("long")) for own in (F.col("quality") <= 0, F.col("quality") > 0))
+    scratch = Scratch(spark, "field")
+    lines = scratch.write(bad.union(good).mapInArrow(_measured, "id long, good boolean, n long, lines binary"), "lines")
+    heads = sorted(tuple(r) for r in lines.select("id", "good", "n").collect())
+    ids, label = np.array([r[0] for r in heads], np.int64), np.array([r[1] for r in heads], bool)
+    half = first_half(ids, label)
+    if any(len(set(label[own])) < 2 for own in (half, ~half)):
         return None
-    line, _, first, label = _measured(halves[0])
-    model = train(line, first, label)
-    line, length, first, label = _measured(halves[1])
-    return model | {"threshold": 1 - calibrated(1 - quality(line, length, first, model)[0], label, MAX_GOOD_LOST)}
+    trained = {(r[0], r[1]): bool(h) for r, h in zip(heads, half)}
+    lines, n = lines.select("id", "good", "lines"), sum(r[2] for r in heads)
+    if n <= LOCAL_LINES:
+        found = sorted(tuple(r) for r in lines.collect())
+        model = train(_here([r for r in found if trained[r[:2]]]), epochs)
+        held = [(q, g) for _, good, line, length, first in _chunks(r for r in found if not trained[r[:2]]) for q, g in zip(quality(line, length, first, model)[0], good)]
+    else:
+        halves = F.broadcast(spark.createDataFrame([(*key, h) for key, h in trained.items()], "id long, good boolean, half boolean"))
+        own = lines.join(halves, ["id", "good"])
+        # Few tasks an epoch, each of about one chunk.
+        model = train(_there(scratch.write(own.where("half").drop("half").repartition(-(-n // CHUNK_LINES), "id"), "trained")), epochs)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for _, good, line, length, first in _chunks(_rows(batches)):
+                yield pa.RecordBatch.from_arrays([pa.array(quality(line, length, first, model)[0]), pa.array(good)], names=["quality", "good"])
+
+        held = [tuple(r) for r in own.where("not half").drop("half").mapInArrow(run, "quality double, good boolean").collect()]
+    found, label = np.array([q for q, _ in held]), np.array([g for _, g in held], bool)
+    return model | {"threshold": 1 - calibrated(1 - found, label, MAX_GOOD_LOST)}
 
 
 def classify(documents: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> DataFrame:

@@ -222,3 +222,18 @@ def test_edges(spark):
     assert all(r.good and r.quality is None for r in quality_crf.classify(e, none).collect())
     assert quality_rules.judge_documents(empty(spark), labels).collect() == [] and quality_crf.classify(empty(spark), labels).collect() == []
     assert quality_rules.drop_rejected(empty(spark), labels).collect() == []
+
+
+def test_texts_of_the_sample_stay_off_the_driver(spark, monkeypatch):
+    """Long labelled texts: the field is trained where their lines lie, and is that which the driver trains."""
+    d, labels = corpus(spark, 80)
+    seen, collect = [], type(d).collect
+    monkeypatch.setattr(type(d), "collect", lambda self: seen.append(collect(self)) or seen[-1])
+    here = quality_crf.fit(d, labels, epochs=4)
+    monkeypatch.setattr(quality_crf, "LOCAL_LINES", 0)
+    monkeypatch.setattr(quality_crf, "CHUNK_LINES", 50)
+    assert here and not any(isinstance(x, str) for rows in seen for r in rows for x in r)
+    seen.clear()
+    there = quality_crf.fit(d, labels, epochs=4)
+    assert not any(isinstance(x, str | bytes | bytearray) for rows in seen for r in rows for x in r)
+    assert all(np.allclose(here[k], there[k], rtol=1e-6, atol=1e-9) for k in here)
