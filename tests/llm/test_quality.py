@@ -237,3 +237,24 @@ def test_texts_of_the_sample_stay_off_the_driver(spark, monkeypatch):
     there = quality_crf.fit(d, labels, epochs=4)
     assert not any(isinstance(x, str | bytes | bytearray) for rows in seen for r in rows for x in r)
     assert all(np.allclose(here[k], there[k], rtol=1e-6, atol=1e-9) for k in here)
+
+
+def test_the_rules_are_fitted_on_every_labelled_row(spark, tmp_path):
+    """Each labelled row is in a half, each of the good half in a tree, and the threshold is that of all of the other half."""
+    n = 4_600
+    d = documents(spark, [(i, "The river runs on. " * (1 + i % 3)) for i in range(n)])
+    labels = spark.createDataFrame([(i, int(i % 4 > 0)) for i in range(n)], "doc_id long, quality int")
+    rows = quality_rules.labelled(quality_rules.measured(d), labels, quality_rules.Scratch(spark, "t", f"{tmp_path}/t")).collect()
+    found = sorted((r.id, r.good, r.half) for r in rows)
+    ids, good = np.arange(n), np.arange(n) % 4 > 0
+    assert [r[0] for r in found] == ids.tolist() and [r[1] for r in found] == good.tolist()
+    assert [r[2] for r in found] == quality_rules.first_half(ids, good).tolist()
+    for share in (1, 3, quality_rules.TREES):
+        trees = quality_rules.trees_of(ids, share)
+        assert all(len(set(t)) == share for t in trees.tolist()) and np.bincount(trees.astype(int).ravel(), minlength=quality_rules.TREES).min() > 0
+    rng = np.random.default_rng(8)
+    for bad in (0, 700):
+        scores = np.round(np.concatenate([rng.normal(0.4, 0.03, 3000), rng.normal(0.5, 0.05, bad)]), 3)
+        kind = np.arange(len(scores)) < 3000
+        table = spark.createDataFrame(list(zip(scores.tolist(), kind.tolist())), "anomaly double, good boolean").repartition(3)
+        assert quality_rules.threshold(table, 3000, bad) == pytest.approx(quality_rules.calibrated(scores, kind), abs=1e-12)
