@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import sys
 import types
 import unicodedata
@@ -28,6 +29,11 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 NORMALISATION = "nfc-1"
 CACHE_SCHEMA = "tokenizer string, digest binary, n_tokens long"
+#: What the pattern's \\s matches, which is less than str.isspace().
+WHITE = "\t\n\v\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+SPACE, OTHER = re.compile(f"[{WHITE}]"), re.compile(f"[^{WHITE}]")
+#: Characters of a long text that are encoded at once. The encoder's pattern gives up, with an error, at a million of white space before a word.
+STRETCH = 1 << 18
 #: Stands for a null doc_id where rows are looked up by it.
 NO_ID = -(1 << 63)
 
@@ -41,6 +47,29 @@ def digest(text: str) -> bytes:
     return hashlib.blake2b(text.encode(), digest_size=16).digest()
 
 
+def stretches(text: str, size: int | None = None) -> Iterator[str]:
+    """The text in pieces of about size characters that have as many tokens as the whole; a run without white space stays in one.
+
+    No token goes on from a sign into white space, so the text can be cut before any run of that. A run that is longer than size is a piece
+    up to its last character, which may belong to the word after it: that is the one token that the pattern makes of it.
+    """
+    size, at = size or STRETCH, 0
+    while len(text) - at > size:
+        end = at + size
+        if not SPACE.match(text, end):
+            found = SPACE.search(text, end)
+            cut = found.start() if found else len(text)
+        else:
+            cut = at + len(text[at:end].rstrip(WHITE))
+            if cut == at:
+                found = OTHER.search(text, end)
+                cut = found.start() - 1 if found else len(text)
+        yield text[at:cut]
+        at = cut
+    if at < len(text):
+        yield text[at:]
+
+
 @dataclass(frozen=True)
 class Tokenizer:
     """A vocabulary file's bytes and the version that they and the code amount to; small (under a few MB), and so broadcast."""
@@ -70,7 +99,7 @@ class Tokenizer:
     def counts(self, texts: Iterable[str | None]) -> list[int]:
         """Tokens of each text's NFC form; strings of special tokens are ordinary text; a null text has none."""
         encode = self.encoding().encode_ordinary
-        return [len(encode(nfc(t))) if t else 0 for t in texts]
+        return [sum(len(encode(x)) for x in stretches(nfc(t))) if t else 0 for t in texts]
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

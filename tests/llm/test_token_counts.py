@@ -1,9 +1,11 @@
 import base64
+import random
 import unicodedata
 
 import pytest
 from corpora import documents, edges, empty
 
+from siltstone.llm import mixing
 from siltstone.llm import token_counts as T
 
 tiktoken = pytest.importorskip("tiktoken")
@@ -32,6 +34,28 @@ def test_counts_are_those_of_the_tokenizer(spark, tmp_path):
     assert spark.read.parquet(cache).count() == len({unicodedata.normalize("NFC", t) for t in TEXTS if t is not None}) + 1
 
 
+def test_long_texts_are_encoded_in_stretches_that_change_no_count():
+    rng, own = random.Random(5), T.Tokenizer.read()
+    for size in range(1, 9):
+        for _ in range(300):
+            text = "".join(rng.choice("aB1.'s é字\n\t  \x85\x1c\u3000") for _ in range(rng.randrange(30)))
+            pieces = list(T.stretches(text, size))
+            assert "".join(pieces) == text and sum(map(direct_tokens(own), pieces)) == direct_tokens(own)(text), (text, pieces)
+
+
+def direct_tokens(own: T.Tokenizer):
+    encode = own.encoding().encode_ordinary
+    return lambda text: len(encode(text))
+
+
+def test_white_space_beyond_the_reach_of_the_pattern(spark):
+    """The encoder ends with an error at a million of white space before a word; mixing is the first stage of the pipeline to meet it."""
+    n = 1_200_000
+    d = documents(spark, [(1, "some words" + " " * n + "x"), (2, "other words")])
+    want = {1: direct("some words") + direct(" " * (n - 1)) + direct(" x"), 2: direct("other words")}
+    assert {r.doc_id: r.n_tokens for r in mixing.copies(d, temperature=1.0).collect()} == want
+
+
 def test_a_stored_count_is_used_and_another_tokenizer_never_meets_it(spark, tmp_path):
     d = documents(spark, [(1, "some words here")])
     cache, other = f"{tmp_path}/a", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
