@@ -26,6 +26,8 @@ def haystack(*columns: str) -> Column:
 
 #: Queries whose needles go into one automaton; more of them take further passes over the texts.
 QUERIES_PER_PASS = 100_000
+#: Texts that a worker holds, and whose hits it holds, at once.
+TRUTH_ROWS = 500
 
 
 def _truth_of(rows: list[tuple[int, list[str]]]):
@@ -54,7 +56,7 @@ def _truth_of(rows: list[tuple[int, list[str]]]):
             found_in = lambda text: {n for _, n in automaton.iter(text)}
         else:
             found_in = lambda text: {n for n in words if n in text}
-        for batch in batches:
+        for batch in (whole.slice(at, TRUTH_ROWS) for whole in batches for at in range(0, whole.num_rows, TRUTH_ROWS)):
             queries, docs = [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 seen: dict[int, int] = {}
@@ -69,6 +71,22 @@ def _truth_of(rows: list[tuple[int, list[str]]]):
     return run
 
 
+def _held_of(rows: list[tuple[int, list[str]]]):
+    """(doc, text) batches -> (query_id) of the queries all of whose needles some text holds, each once a task; those that were found aren't looked for again."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        left = {query: {n.lower() for n in own} for query, own in rows}
+        for batch in batches:
+            for text in (batch.column(1)[i].as_py() or "" for i in range(batch.num_rows)):
+                for query in [q for q, own in left.items() if all(n in text for n in own)]:
+                    del left[query]
+                    yield pa.RecordBatch.from_arrays([pa.array([query], pa.int64())], names=["query_id"])
+
+    return run
+
+
 def substring_truth(documents: DataFrame, id_column: str, hay: Column, queries: DataFrame) -> DataFrame:
     """(query_id, doc_id): the documents whose text holds all of a query's needles, letter case aside; queries(query_id, needles ARRAY<STRING>).
 
@@ -191,8 +209,10 @@ def query_mix(documents: DataFrame, count: int, seed: int = 0xDEADBEEF, rows: in
     tried = generate_queries(sample, count, seed, {r["word"]: r["count"] for r in found.join(F.broadcast(side), "word").collect()}, spare=2)
     if not tried:
         return tried
-    needles = spark.createDataFrame([(q["query_id"], q["needles"]) for q in tried], "query_id long, needles array<string>")
-    held = {r.query_id for r in substring_truth(documents.withColumn("_one", F.lit(1)), "_one", hay if hay is not None else haystack("title", "body"), needles).select("query_id").distinct().collect()}
+    # Which queries some text holds, not which text: so a worker holds a text and what is still to be found.
+    texts = documents.select(F.lit(1).alias("_one"), (hay if hay is not None else haystack("title", "body")).alias("_hay"))
+    found = texts.mapInArrow(_held_of([(q["query_id"], q["needles"]) for q in tried]), "query_id long").distinct().collect()
+    held = {r.query_id for r in found}
     out: list[dict] = []
     for kind, share in SHARES.items():
         out += [q for q in tried if q["kind"] == kind and q["query_id"] in held][: int(count * share)]

@@ -69,3 +69,15 @@ def test_helpers():
     assert all(0 <= rng() < 1 for _ in range(1000))
     assert E.inject_typo("abc", rng) == "abc" and E.ascii_words("The Quick, fox is it") == ["quick", "fox"]
     assert E.render_table([{"a": 1.5, "b": None}], ["a", "b"]).splitlines() == ["| a | b |", "| --- | --- |", "| 1.500 | N/A |"]
+
+
+def test_queries_that_some_text_holds_are_told_once_however_many_texts_do():
+    import pyarrow as pa
+
+    texts = ["the apache license", None, "apache", "", "mit License x"] * 3_000
+    batch = pa.RecordBatch.from_arrays([pa.array([1] * len(texts)), pa.array([t and t.lower() for t in texts])], names=["_one", "_hay"])
+    rows = [(0, ["apache"]), (1, ["apache", "license"]), (2, ["apache", "mit"]), (3, []), (4, ["zz"]), (5, ["MIT"])]
+    told = [q for b in E._held_of(rows)([batch, batch]) for q in b.column(0).to_pylist()]
+    assert sorted(told) == [0, 1, 3, 5]
+    truth = list(E._truth_of(rows)([batch]))
+    assert max(b.num_rows for b in truth) <= E.TRUTH_ROWS * len(rows) and sum(b.num_rows for b in truth) == 6_000 + 3_000 + 15_000
